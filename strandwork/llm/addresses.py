@@ -31,3 +31,17 @@ def repository(text: Column) -> Column:
     pick = lambda p: F.concat(F.regexp_extract(t, p, 1), F.lit("/"), F.regexp_extract(t, p, 2))
     # "owner.with.dot/name" has two parts; a host has at least an owner and a name behind it
     return F.when(t.rlike(web), pick(web)).when(t.rlike(bare), pick(bare))
+
+
+SQL_UNKNOWN = "(" + ", ".join(f"'{w}'" for w in UNKNOWN) + ")"
+_WEB = r"'^(?:git\+)?(?:[a-z]+://)?(?:[^@/\s]+@)?(?:[a-z0-9-]+\.)+[a-z]{2,}(?::\d+)?[/:]+([^/\s:]+)/+([^/\s]+?)(?:\.git)?(?:/.*)?$'"
+_BARE = r"'^([^/\s:@]+)/([^/\s:]+?)(?:\.git)?/*$'"
+
+
+def sql_repository(column: str) -> str:
+    """The same in SQL."""
+    t = rf"regexp_replace(regexp_replace(lower(trim({column})), '[?#].*$', ''), '\s*/\s*', '/', 'g')"
+    return (
+        f"CASE WHEN lower(trim({column})) IN {SQL_UNKNOWN} THEN NULL WHEN regexp_matches({t}, {_WEB}) THEN regexp_extract({t}, {_WEB}, 1) || '/' || regexp_extract({t}, {_WEB}, 2) "
+        f"WHEN regexp_matches({t}, {_BARE}) THEN regexp_extract({t}, {_BARE}, 1) || '/' || regexp_extract({t}, {_BARE}, 2) END"
+    )

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandwork.llm import groups
+from strandwork.llm import groups, truth
 
 
 def modules() -> list:
-    return [groups]
+    return [truth, groups]

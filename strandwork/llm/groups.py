@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.llm.addresses import known, repository
+from strandwork.llm.addresses import SQL_UNKNOWN, known, repository, sql_repository
 from strandwork.llm.components import connected_components, star_edges
 from strandwork.sources.tables import table
 
@@ -33,25 +33,12 @@ def p6_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"p6_found": p6_found, "p6_sizes": p6_sizes}
 
-_UNKNOWN = "('unknown', 'unresolved', 'tbd', 'tbc', 'none', 'not found', 'not known', 'n/a', 'na', 'nan', 'null', '-', '--', '?', '??', 'deleted', '404', 'repository unavailable', 'pending', 'missing', '')"
-_WEB = r"'^(?:git\+)?(?:[a-z]+://)?(?:[^@/\s]+@)?(?:[a-z0-9-]+\.)+[a-z]{2,}(?::\d+)?[/:]+([^/\s:]+)/+([^/\s]+?)(?:\.git)?(?:/.*)?$'"
-_BARE = r"'^([^/\s:@]+)/([^/\s:]+?)(?:\.git)?/*$'"
-
-
-def _sql_repository(column: str) -> str:
-    t = rf"regexp_replace(regexp_replace(lower(trim({column})), '[?#].*$', ''), '\s*/\s*', '/', 'g')"
-    return (
-        f"CASE WHEN lower(trim({column})) IN {_UNKNOWN} THEN NULL WHEN regexp_matches({t}, {_WEB}) THEN regexp_extract({t}, {_WEB}, 1) || '/' || regexp_extract({t}, {_WEB}, 2) "
-        f"WHEN regexp_matches({t}, {_BARE}) THEN regexp_extract({t}, {_BARE}, 1) || '/' || regexp_extract({t}, {_BARE}, 2) END"
-    )
-
-
 _GROUPS = f"""
 WITH RECURSIVE m AS (
   SELECT DISTINCT repo_row_id AS id, k FROM (
-    SELECT repo_row_id, CASE WHEN lower(trim(lineage_id)) NOT IN {_UNKNOWN} THEN 'l:' || lower(trim(lineage_id)) END AS k FROM ukb_dmca_repositories
-    UNION ALL SELECT repo_row_id, 'r:' || {_sql_repository("repo_url")} FROM ukb_dmca_repositories
-    UNION ALL SELECT repo_row_id, 'r:' || {_sql_repository("parent_or_source_repo")} FROM ukb_dmca_repositories
+    SELECT repo_row_id, CASE WHEN lower(trim(lineage_id)) NOT IN {SQL_UNKNOWN} THEN 'l:' || lower(trim(lineage_id)) END AS k FROM ukb_dmca_repositories
+    UNION ALL SELECT repo_row_id, 'r:' || {sql_repository("repo_url")} FROM ukb_dmca_repositories
+    UNION ALL SELECT repo_row_id, 'r:' || {sql_repository("parent_or_source_repo")} FROM ukb_dmca_repositories
   ) WHERE k IS NOT NULL
 ), s AS (SELECT k, min(id) AS lo FROM m GROUP BY k),
 e AS (SELECT DISTINCT m.id AS a, s.lo AS b FROM m JOIN s USING (k)),
