@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandwork.llm import groups, truth
+from strandwork.llm import groups, passages, tokens, truth
 
 
 def modules() -> list:
-    return [truth, groups]
+    return [truth, groups, tokens, passages]
