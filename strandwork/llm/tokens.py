@@ -17,6 +17,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from strandwork.sources.tables import table
 
@@ -130,7 +131,7 @@ def encode_texts(df: DataFrame, text: str = "text", out: str = "ids", vocabulary
     its rows in Arrow batches and a very long text costs memory in proportion to itself only. An existing column ``out`` is replaced.
     """
     source = df.drop(out) if out != text else df
-    schema = source.schema.add(out, "array<int>")
+    schema = StructType([*source.schema.fields, StructField(out, ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, leaf_chars).encode
@@ -152,7 +153,7 @@ def decode_ids(df: DataFrame, ids: str = "ids", out: str = "text", vocabulary: s
             texts = pa.array([decode(x) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, out])
 
-    return source.mapInArrow(run, source.schema.add(out, "string"))
+    return source.mapInArrow(run, StructType([*source.schema.fields, StructField(out, StringType())]))
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
