@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandwork.llm import groups, passages, tokens, truth
+from strandwork.llm import groups, passages, residue, tokens, truth
 
 
 def modules() -> list:
-    return [truth, groups, tokens, passages]
+    return [truth, groups, tokens, passages, residue]

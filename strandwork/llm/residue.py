@@ -1,0 +1,321 @@
+"""Problem 10: template residue, filler, error pages and script notices, found from labelled exemplars.
+
+Exemplars are retrieved through an inverted index over their terms; a passage window is compared by TF-IDF
+containment, the share of the window's weight that the exemplar holds, with document frequencies counted over the whole
+corpus. Unfilled slots of whatever notation become one term, so that a slot is an exemplar of one term. Code is
+masked first: text that shows a placeholder in code speaks of it and is no residue.
+"""
+
+from __future__ import annotations
+
+import html
+import math
+import re
+import unicodedata
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandwork.sources.tables import table
+
+SLOT = "\x00slot"
+
+# Labelled exemplars, one a line, by kind. Numbers stand for any number.
+EXEMPLARS = {
+    "filler": """
+lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum placeat
+Sample text. Sample text. Sample text.
+blah blah blah blah
+asdf asdf asdf qwerty test test test
+test entry please ignore
+xxxx xxxx xxxx xxxx xx xxxxx
+Your abstract goes here. Replace this text before you submit the form.
+Replace this text with your own.
+Insert lay summary here.
+Insert text here.
+Your text here.
+Summary to follow.
+Abstract to follow.
+Text to be added.
+Details to be confirmed.
+Type the aims of the project in this box (max. 100 words).
+Enter a description of the project here.
+Click to add text
+Click here to edit this text.
+Description coming soon!
+Coming soon
+Content coming soon
+This page is under construction.
+This is placeholder text.
+placeholder
+placeholder text
+TBD
+TBC
+TBA
+TODO
+to be determined
+""",
+    "error": """
+404 - page not available The page you asked for could not be found. Return to the home page or use the search.
+404 Not Found
+404 Page not found
+The requested URL was not found on this server.
+The page you are looking for does not exist.
+Sorry, the page you requested could not be found.
+Access denied. You do not have permission to view this project on this server. Incident 123.
+403 Forbidden You don't have permission to access this resource.
+500 Internal Server Error The server encountered an internal error and was unable to complete your request.
+The server met an internal problem and could not finish your request.
+502 Bad Gateway
+503 Service Unavailable
+504 Gateway Time-out
+Service is temporarily down for maintenance. Please try again in a few minutes.
+We'll be back soon. The site is down for scheduled maintenance.
+Gateway time-out: upstream did not answer within 30 seconds.
+Too many requests. Slow down and retry later.
+We're sorry, something went wrong on our side. Our engineers have been told.
+Oops! Something went wrong. Please try again later.
+Could not reach the database (code 1234)
+Error establishing a database connection
+Your session has expired. Sign in again to continue.
+Please log in to view this page.
+You must be signed in to view this content.
+This repository has been disabled. Nothing to see here.
+This repository is unavailable due to a takedown notice.
+Traceback (most recent call last): File "render.py", line 12 KeyError: 'lay_summary'
+{"error": {"status": 404, "message": "resource not available"}}
+Fehler 404: Die angeforderte Seite wurde nicht gefunden.
+Seite nicht gefunden
+Error del servidor: la página no está disponible.
+Página no encontrada
+Erreur : cette page n'existe pas ou a été déplacée.
+Page introuvable
+お探しのページは見つかりませんでした。
+ページが見つかりません。
+""",
+    "script": """
+This site requires JavaScript and cookies. Please turn them on in your browser and reload.
+JavaScript has to be switched on before this listing can start.
+Your browser does not support scripts, so the project listing cannot be shown.
+Scripts are switched off. Turn scripts on to read this abstract.
+Please enable JavaScript to view this page.
+You need to enable JavaScript to run this app.
+JavaScript is disabled in your browser.
+Please enable cookies and reload the page.
+Veuillez activer JavaScript pour afficher le résumé.
+Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.
+Active JavaScript para ver este contenido.
+JavaScriptを有効にしてください。
+One moment, we are looking at your browser...
+Checking your browser before accessing the site.
+Just a moment... Verifying you are human.
+Solve the puzzle below to show that you are a person.
+Please complete the captcha to continue.
+We use cookies. Accept all / Reject all / Manage settings. Content is hidden until you choose.
+Loading... Loading... Loading...
+Loading, please wait...
+Please wait while the page loads.
+""",
+}
+# What slots are named after; notations of a slot, the name in them as {n}.
+SLOT_NOUNS = "name names id ids number date dates title titles institution institutions summary abstract applicant applicants funder funders owner type contact address email mail phone signature company organisation organization position city country author authors project department role amount reference description text here placeholder value year"
+_N = r"[^\W\d_][\w .-]{0,40}"
+SLOT_FORMS = (
+    r"\{\{\s*" + _N + r"\s*\}\}", r"\{%\s*" + _N + r"\s*%\}", r"\$\{\s*" + _N + r"\s*\}", r"\[\[\s*" + _N + r"\s*\]\]", r"<<\s*" + _N + r"\s*>>", r"@@" + _N + r"@@",
+    r"<(?:insert|your|enter|add|type)\s" + _N + r">", r"(?<![A-Za-z0-9_])#[^\W\d_]\w{2,40}#(?![A-Za-z0-9_])", r"(?<![A-Za-z0-9_%])%[^\W\d_][A-Za-z_]{2,40}%(?![A-Za-z0-9_])", r"(?<![A-Za-z0-9_])__[A-Z][A-Z_]{2,40}__(?![A-Za-z0-9_])",
+    r"(?<![A-Za-z0-9_$])\$[A-Z][A-Z_]{3,40}(?![A-Za-z0-9_])", r"(?<![A-Za-z0-9_])_{6,}(?![A-Za-z0-9_])", r"(?<![A-Za-z0-9_])X{5,}(?![A-Za-z0-9_])", r"(?i:\[(?:your|insert|enter|add)\s" + _N + r"\])",
+    r"(?i:\((?:[a-z]+ ){1,4}to be (?:inserted|added|completed|confirmed|supplied|filled in)\))", r"(?<![\\A-Za-z0-9_^$}])\{[A-Za-z][a-z]+(?:[_.][a-z]+)*\}", r"(?<![\\A-Za-z0-9_^$}])\{[A-Z]{3,}(?:[_.][A-Z]+)*\}",
+)
+_ESCAPED_SLOT = re.compile(r"&lt;\s*([^\W\d_][\w .-]{1,40}?)\s*&gt;")
+_BRACKET_SLOT = re.compile(r"\[([A-Z][A-Z _]{1,40})\](?!\()")
+_SLOTS = re.compile("|".join(SLOT_FORMS))
+_NOUNS = frozenset(SLOT_NOUNS.split())
+_CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]+`|<code>.*?</code>|\b[fFrR]\"[^\"\n]*\"|\b[fFrR]'[^'\n]*'|\$[^$\n]*\\[^$\n]*\$", re.S)
+_RULE = re.compile(r"^[ \t]*[_X-]{3,}[ \t]*$", re.M)
+_TAG = re.compile(r"</?[A-Za-z!][^<>]{0,300}>")
+_HEAD = re.compile(r"<(head|title|style|script)\b[^>]*>.*?</\1>", re.I | re.S)
+_FURNITURE = re.compile(r"^\s*(?:\[\d{4}-\d\d-\d\d[^\]\n]*\]|Home >[^\n]*)|\(c\) \d{4} [^\n|]*(?:\|[^\n|]*)+$", re.M | re.I)
+_TERM = re.compile(r"\x00slot|[぀-ヿ㐀-鿿가-힯]+|[^\W_]+")
+_WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
+
+
+def _is_slot_name(name: str) -> bool:
+    parts = re.split(r"[\s_.-]+", name.lower().strip())
+    return parts[-1] in _NOUNS
+
+
+def marked(text: str) -> str:
+    """A text with code masked, slots as ``SLOT`` and markup dropped."""
+    text = unicodedata.normalize("NFKC", text)
+    text = _CODE.sub(" \x01 ", text)
+    text = _RULE.sub("\n", text) if "\n" in text else text
+    text = _ESCAPED_SLOT.sub(lambda m: f" {SLOT} " if _is_slot_name(m.group(1)) or m.group(1).lower().startswith(("insert ", "your ")) else m.group(), text)
+    text = _SLOTS.sub(f" {SLOT} ", text)
+    text = _BRACKET_SLOT.sub(lambda m: f" {SLOT} " if _is_slot_name(m.group(1)) else m.group(), text)
+    if "<" in text:
+        text = _TAG.sub("\n", _HEAD.sub("\n", text))
+    return html.unescape(text) if "&" in text else text
+
+
+def terms(text: str) -> list[str]:
+    """Terms of a marked text: words without case, numbers as ``0``, pairs of characters where words aren't spaced."""
+    out: list[str] = []
+    for t in _TERM.findall(text):
+        if t == SLOT:
+            out.append(t)
+        elif _WIDE.match(t):
+            out.extend(t[i : i + 2] for i in range(max(1, len(t) - 1)))
+        else:
+            t = t.casefold()
+            out.append("0" if t.isdigit() else t)
+    return out
+
+
+@dataclass(frozen=True)
+class Exemplar:
+    kind: str
+    text: str
+    terms: tuple[str, ...]
+
+
+def exemplars() -> list[Exemplar]:
+    found = [Exemplar("slot", SLOT, (SLOT,))]
+    for kind, block in EXEMPLARS.items():
+        found += [Exemplar(kind, line, tuple(terms(line))) for line in block.strip().splitlines()]
+    return found
+
+
+class ResidueIndex:
+    """Inverted index of the exemplars' terms, with the weights of the corpus."""
+
+    def __init__(self, known: list[Exemplar], frequency: dict[str, int], documents: int, window: int = 12, anywhere: int = 5, containment: float = 0.82, coverage: float = 0.7):
+        self.known, self.window, self.anywhere, self.containment, self.coverage = known, window, anywhere, containment, coverage
+        self.vocabulary = frozenset(t for x in known for t in x.terms)
+        self.weight = {t: math.log((documents + 1) / (frequency.get(t, 0) + 0.5)) for t in self.vocabulary}
+        #: a term that no exemplar holds counts as a rare one: it is evidence that the window is something else
+        self.other = math.log((documents + 1) / (documents * 0.02 + 0.5)) if documents else 1.0
+        self.index: dict[str, list[int]] = {}
+        for n, x in enumerate(known):
+            for t in set(x.terms):
+                self.index.setdefault(t, []).append(n)
+        self.mass = [sum(self.weight[t] for t in set(x.terms)) for x in known]
+
+    def candidates(self, present: set[str]) -> list[int]:
+        """Exemplars of which the text holds enough weight to fill a window."""
+        got: dict[int, float] = {}
+        for t in present & self.vocabulary:
+            for n in self.index[t]:
+                got[n] = got.get(n, 0.0) + self.weight[t]
+        need = lambda n: 0.6 * self.mass[n] if len(set(self.known[n].terms)) <= self.window else 4 * self.other
+        return [n for n, mass in got.items() if mass >= need(n)]
+
+    def best(self, seq: list[str], n: int) -> float:
+        """The highest containment of a window of the text in exemplar ``n``, 0 where the window covers too little of it."""
+        own = set(self.known[n].terms)
+        size = min(self.window, len(self.known[n].terms))
+        if len(seq) < size:
+            return 0.0
+        distinct = min(len(own), size)
+        gain = [self.weight[t] if t in own else 0.0 for t in seq]
+        cost = [max(self.weight.get(t, self.other), self.other) if t not in own else self.weight[t] for t in seq]
+        got, all_ = sum(gain[:size]), sum(cost[:size])
+        top = 0.0
+        for k in range(size, len(seq) + 1):
+            if all_ > 0 and got / all_ >= self.containment and got / all_ > top:
+                held = {t for t in seq[k - size : k] if t in own}
+                if len(held) >= self.coverage * (distinct if len(own) <= self.window else size * 0.6):
+                    top = got / all_
+            if k < len(seq):
+                got += gain[k] - gain[k - size]
+                all_ += cost[k] - cost[k - size]
+        return top
+
+    def judge(self, text: str | None) -> tuple[str, str, float] | None:
+        """(kind, exemplar, containment) of the best match, None for texts without residue and for null, empty and blank ones."""
+        if not text or not text.strip():
+            return None
+        clean = marked(text)
+        seq = terms(clean)
+        present = set(seq)
+        if SLOT in present:
+            return "slot", SLOT, 1.0
+        if not present & self.vocabulary:
+            return None
+        best: tuple[str, str, float] | None = None
+        body = None
+        for n in self.candidates(present):
+            x = self.known[n]
+            if len(x.terms) >= self.anywhere:
+                score = self.best(seq, n)
+            else:  # a few words say nothing within a sentence; alone in a paragraph or row they do
+                if body is None:
+                    body = [terms(p) for p in re.split(r"\n\s*\n|\A\s*\n|\n", _FURNITURE.sub("\n\n", clean))]
+                    body = [p for p in body if p]
+                own = list(x.terms)
+                score = 1.0 if any(p == own for p in body) or [t for p in body for t in p] == own else 0.0
+            if score > (best[2] if best else 0.0):
+                best = (x.kind, x.text, score)
+        return best
+
+
+def term_frequencies(docs: DataFrame, text: str, vocabulary: frozenset[str]) -> tuple[dict[str, int], int]:
+    """Document frequency of every exemplar term over all documents, and how many documents there are.
+
+    The result has a row per term of the exemplars and task before the shuffle, whatever the corpus.
+    """
+    source = docs.select(F.col(text).cast("string").alias("text")).filter("text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, int] = {"": 0}
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                counts[""] += 1
+                for term in vocabulary.intersection(terms(marked(t))):
+                    counts[term] = counts.get(term, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+
+    total = {r["term"]: r["n"] for r in source.mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    return total, total.pop("", 0)
+
+
+def detect_residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: list[Exemplar] | None = None) -> DataFrame:
+    """(doc_id, kind, exemplar, containment) of every document row that holds residue, wholly or in one place.
+
+    Two passes over the texts: document frequencies of the exemplars' terms, then the windows of every text. Nothing but
+    the frequencies is shuffled. Null, empty and blank texts, and an empty table, give no row; ties go to the
+    exemplar listed first; repeated rows are judged alike.
+    """
+    known = exemplars() if known is None else known
+    frequency, documents = term_frequencies(docs, text, frozenset(t for x in known for t in x.terms))
+    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = ResidueIndex(known, frequency, documents)
+        for batch in batches:
+            out = [(d, *found) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (found := index.judge(t))]
+            columns = list(zip(*out)) or [[], [], [], []]
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "kind", "exemplar", "containment"])
+
+    return source.mapInArrow(run, "doc_id bigint, kind string, exemplar string, containment double")
+
+
+def without_residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that hold no residue."""
+    return docs.join(detect_residue(docs, doc_id, text).select(F.col("doc_id").alias(doc_id)), doc_id, "left_anti")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return detect_residue(table(spark, folder, "documents")).select("doc_id")
+
+
+def p10_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Residue per kind and exemplar."""
+    return detect_residue(table(spark, folder, "documents")).groupBy("kind", "exemplar").agg(F.count("*").alias("docs"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_kinds": p10_kinds}
+ORACLE_SQL: dict[str, str] = {}
