@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandwork.llm import groups, names, passages, residue, tokens, truth
+from strandwork.llm import groups, names, passages, residue, tokens, topics, truth
 
 
 def modules() -> list:
-    return [truth, names, groups, tokens, passages, residue]
+    return [truth, names, topics, groups, tokens, passages, residue]

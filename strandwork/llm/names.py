@@ -140,7 +140,7 @@ def same_entity(kind: str, given_a: str, main_a: str, given_b: str, main_b: str)
         return given_a == given_b and _one_off(main_a, main_b, 5)
     given_equal = bool(_canon(given_a) & _canon(given_b))
     if main_a == main_b:
-        return given_equal or _one_off(given_a, given_b, 3)
+        return given_equal or any(_one_off(x, y, 3) for x in _canon(given_a) for y in _canon(given_b))
     if given_equal:
         return _one_off(main_a, main_b, 4)
     return given_a == main_b and given_b == main_a
