@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandwork.plans import problems
+from strandwork.plans import problems, relational
 
 
 def modules() -> list:
-    return [problems]
+    return [problems, relational]
