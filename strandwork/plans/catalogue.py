@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandwork.plans import problems, relational
+from strandwork.plans import aggregates, problems, relational
 
 
 def modules() -> list:
-    return [problems, relational]
+    return [problems, relational, aggregates]
