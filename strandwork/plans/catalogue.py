@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandwork.plans import aggregates, problems, relational
+from strandwork.plans import aggregates, calendar, problems, relational, texts
 
 
 def modules() -> list:
-    return [problems, relational, aggregates]
+    return [problems, relational, aggregates, calendar, texts]
