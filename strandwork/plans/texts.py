@@ -71,7 +71,7 @@ def snippets(spark: SparkSession, folder: str) -> DataFrame:
     return hits.select("doc_id", T.snippet(F.col("text"), F.instr("text", "platform"), 8, 30).alias("snippet"))
 
 
-@register(r"SELECT repo_row_id, array_to_string(list_distinct([regexp_replace(x, '[.,;:)]+$', '') FOR x IN regexp_extract_all(doi, '10\.[0-9]{4,9}/[^\s""<>|]+')]).list_sort(), ' ') AS dois, len(regexp_extract_all(coalesce(crosswalk_app_ids, ''), '[0-9]{2,8}')) AS ids FROM ukb_dmca_repositories WHERE doi IS NOT NULL")
+@register(r"SELECT repo_row_id, array_to_string(list_distinct([regexp_replace(x, '[.,;:)]+$', '') FOR x IN regexp_extract_all(doi, '10\.[0-9]{4,9}/[^\s\x22<>|]+')]).list_sort(), ' ') AS dois, len(regexp_extract_all(coalesce(crosswalk_app_ids, ''), '[0-9]{2,8}')) AS ids FROM ukb_dmca_repositories WHERE doi IS NOT NULL")
 def identifier_lists(spark: SparkSession, folder: str) -> DataFrame:
     ids = F.size(F.regexp_extract_all(F.coalesce("crosswalk_app_ids", F.lit("")), F.lit("[0-9]{2,8}"), F.lit(0))).cast("bigint")
     return table(spark, folder, "ukb_dmca_repositories").filter("doi is not null").select("repo_row_id", F.array_join(F.array_sort(T.identifiers(F.col("doi"), "doi")), " ").alias("dois"), ids.alias("ids"))
