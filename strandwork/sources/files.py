@@ -29,8 +29,9 @@ def scan_delimited(spark: SparkSession, path: str, sep: str | None = None, encod
     if sep is None:
         first = spark.read.option("encoding", encoding).text(path).limit(1).collect()
         sep = sniff_separator(first[0][0] if first else "")
-    df = spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=True, escape='"', inferSchema=False, nullValue="\x00", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    df = spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=True, escape='"', inferSchema=False, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     df = df.withColumnsRenamed({c: c.lstrip("\ufeff") for c in df.columns if c.startswith("\ufeff")})
+    df = df.select(*[F.coalesce(f"`{c}`", F.lit("")).alias(c) for c in df.columns])
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"columns missing in {path}: {', '.join(missing)}")
@@ -96,7 +97,7 @@ def scan_packed(spark: SparkSession, path: str) -> DataFrame:
 def scan_texts(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
     """(path, text) of all files of a folder tree whose names fit ``pattern``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.select("path", F.decode("content", "UTF-8").alias("text"))
 
 
 def html_rows(pages: DataFrame, html: str, heading: str = r"<h2>[^<]*Applications[^<]*</h2>") -> DataFrame:
