@@ -250,7 +250,10 @@ class ResidueIndex:
             x = self.known[n]
             if len(x.terms) >= self.anywhere:
                 score = self.best(seq, n)
-            else:  # a few words say nothing within a sentence; alone in a paragraph or row they do
+            elif len(x.terms) >= 4 or len(x.terms) > 2 and len(set(x.terms)) == 1:  # a few words count in this order
+                own, size = list(x.terms), len(x.terms)
+                score = float(any(seq[k] == own[0] and seq[k : k + size] == own for k in range(len(seq) - size + 1)))
+            else:  # up to three words say nothing within a sentence; alone in a paragraph or row they do
                 if body is None:
                     body = [terms(p) for p in re.split(r"\n\s*\n|\A\s*\n|\n", _FURNITURE.sub("\n\n", clean))]
                     body = [p for p in body if p]
