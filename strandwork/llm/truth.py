@@ -45,6 +45,7 @@ def discover_truth(
     tolerance: float = 1e-4,
     prior: float = 0.8,
     prior_weight: float = 10.0,
+    least_records: int = 1,
 ) -> tuple[DataFrame, dict[str, float]]:
     """The surviving claim per (entity, field) and the reliability of each source.
 
@@ -52,31 +53,29 @@ def discover_truth(
     the log odds of the sources that claim it (one vote per source and value) and the winner is the value of highest support,
     then its latest, then its smallest record. With ``ranks`` votes don't add up: the support of a claim is the
     reliability of its source, ordered as the ranks are, then recency, then the smallest record, and sources
-    without rank come last. Null values are no claims; a group without claim gives no row; an empty table gives an empty
-    result. Grouping is a partial aggregation, so a group holding a third of all rows is one row per task in the shuffle.
+    without rank come last. Null values are no claims, but their records count towards ``least_records``; a group with fewer
+    records or without claim gives no row; an empty table gives an empty result. Grouping is a partial aggregation, so a group holding a third of all rows is one row per task in the shuffle.
     """
-    claims = claims.filter("value is not null and entity is not null")
-    # one row per source: a bounded set
-    sources = list(ranks) if ranks is not None else [r[0] for r in claims.select("source").distinct().collect()]
-    reliability = {s: prior for s in sources}
-    if ranks is not None:
-        reliability = ordered_projection(reliability, ranks)
-    votes = None
+    claims = claims.filter("entity is not null")
+    reliability = ordered_projection(dict.fromkeys(ranks, prior), ranks) if ranks is not None else {}
+    # claims are read once: what a round needs of them is one row per entity, field, value and source
+    votes = cut(claims.groupBy("entity", "field", "value", "source").agg(F.max(F.struct("recency", (-F.col("record")).alias("neg"))).alias("best"), F.count("*").alias("n")))
     if ranks is None:
-        votes = cut(claims.groupBy("entity", "field", "value", "source").agg(F.max(F.struct("recency", (-F.col("record")).alias("neg"))).alias("best"), F.count("*").alias("n")))
+        sources = [r[0] for r in votes.filter("value is not null").select("source").distinct().collect()]  # a bounded set
+        reliability = dict.fromkeys(sources, prior)
     winners = None
     for _ in range(max_rounds):
         weights = F.create_map(*[F.lit(x) for s, w in reliability.items() for x in (s, float(w))]) if reliability else F.create_map().cast("map<string,double>")
         weight = F.coalesce(F.try_element_at(weights, F.col("source")), F.lit(0.0))
         if ranks is None:
             odds = F.log(F.least(F.greatest(weight, F.lit(0.01)), F.lit(0.99)) / (1 - F.least(F.greatest(weight, F.lit(0.01)), F.lit(0.99))))
-            support = votes.groupBy("entity", "field", "value").agg(F.round(F.sum(odds), 9).alias("support"), F.max("best").alias("best"))
-            winners = support.groupBy("entity", "field").agg(F.max(F.struct("support", "best", "value")).alias("w")).select("entity", "field", F.col("w.value").alias("value"), (-F.col("w.best.neg")).alias("record"), F.col("w.support").alias("support"))
-            judged = votes.join(winners.select("entity", "field", F.col("value").alias("won")), ["entity", "field"]).groupBy("source").agg(F.sum(F.when(F.col("value") == F.col("won"), F.col("n")).otherwise(0)).alias("agree"), F.sum("n").alias("all"))
+            support = votes.groupBy("entity", "field", "value").agg(F.round(F.sum(odds), 9).alias("support"), F.max("best").alias("best"), F.sum("n").alias("n"))
         else:
-            best = F.max(F.struct(weight.alias("support"), F.col("recency"), (-F.col("record")).alias("neg"), F.col("value")))
-            winners = cut(claims.groupBy("entity", "field").agg(best.alias("w")).select("entity", "field", F.col("w.value").alias("value"), (-F.col("w.neg")).alias("record"), F.col("w.support").alias("support")))
-            judged = claims.groupBy("entity", "field", "source", "value").agg(F.count("*").alias("n")).join(winners.select("entity", "field", F.col("value").alias("won")), ["entity", "field"]).groupBy("source").agg(F.sum(F.when(F.col("value") == F.col("won"), F.col("n")).otherwise(0)).alias("agree"), F.sum("n").alias("all"))
+            support = votes.withColumn("support", weight)
+        claim = F.max(F.when(F.col("value").isNotNull(), F.struct("support", "best", "value")))
+        kept = support.groupBy("entity", "field").agg(claim.alias("w"), F.sum("n").alias("records")).filter((F.col("records") >= least_records) & F.col("w").isNotNull())
+        winners = cut(kept.select("entity", "field", F.col("w.value").alias("value"), (-F.col("w.best.neg")).alias("record"), F.col("w.support").alias("support")))
+        judged = votes.filter("value is not null").join(winners.select("entity", "field", F.col("value").alias("won")), ["entity", "field"]).groupBy("source").agg(F.sum(F.when(F.col("value") == F.col("won"), F.col("n")).otherwise(0)).alias("agree"), F.sum("n").alias("all"))
         estimate = {r["source"]: (r["agree"] + prior * prior_weight) / (r["all"] + prior_weight) for r in judged.collect()}
         before = reliability
         estimate = {k: estimate.get(k, before[k]) for k in before}
@@ -88,25 +87,24 @@ def discover_truth(
 
 
 def lineage_claims(lineages: DataFrame) -> DataFrame:
-    """Claims of ukb_dmca_lineages for lineages with two or more records, unusable values left out.
+    """One claim per record and field of ukb_dmca_lineages, with a null value where it is unusable.
 
     A date is usable if it names a real calendar day from 2008 to 2026 (compared as days); a repository if both owner
     and name are there.
     """
     entity = F.upper(F.regexp_replace("lineage_id", r"(?U)^\s+|\s+$", ""))
     records = lineages.select(entity.alias("entity"), "record_id", "record_source", "fetched_at_utc", *FIELDS).filter("entity is not null and entity != ''")
-    many = records.groupBy("entity").agg(F.count("*").alias("n")).filter("n >= 2").select("entity")
-    claims = records.join(many, "entity", "left_semi").select(
+    claims = records.select(
         "entity",
         F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("raw")) for f in FIELDS])),
         F.lower(F.trim("record_source")).alias("source"),
         F.col("fetched_at_utc").alias("recency"),
         F.col("record_id").alias("record"),
     )
-    dated = normalise_timestamps(claims.filter("raw is not null"), "raw", out="us")
+    dated = normalise_timestamps(claims, "raw", out="us")
     day = F.floor(F.col("us") / _DAY).cast("int")
     real = F.when(F.year(F.date_from_unix_date(day)).between(2008, 2026), F.date_from_unix_date(day).cast("string"))
-    return dated.withColumn("value", F.when(F.col("field") == "source_repo", repository(F.col("raw"))).otherwise(real)).filter("value is not null").drop("us")
+    return dated.withColumn("value", F.when(F.col("field") == "source_repo", repository(F.col("raw"))).otherwise(real)).drop("us", "raw")
 
 
 def trust_ranks(spark: SparkSession, folder: str) -> dict[str, int]:
@@ -116,20 +114,20 @@ def trust_ranks(spark: SparkSession, folder: str) -> dict[str, int]:
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     claims = lineage_claims(table(spark, folder, "ukb_dmca_lineages"))
-    winners, _ = discover_truth(claims, trust_ranks(spark, folder))
+    winners, _ = discover_truth(claims, trust_ranks(spark, folder), least_records=2)
     return winners.select(F.col("entity").alias("lineage_id"), F.col("field").alias("field_name"), F.col("record").alias("record_id"))
 
 
 def p1_voted(spark: SparkSession, folder: str) -> DataFrame:
     """The value of highest support where no trust order is given: sources are weighed by their agreement alone."""
-    winners, _ = discover_truth(cut(lineage_claims(table(spark, folder, "ukb_dmca_lineages"))))
+    winners, _ = discover_truth(lineage_claims(table(spark, folder, "ukb_dmca_lineages")), least_records=2)
     return winners.select(F.col("entity").alias("lineage_id"), F.col("field").alias("field_name"), "value", "record", "support")
 
 
 def p1_survivors(spark: SparkSession, folder: str) -> DataFrame:
     """The merged record of each lineage, as a row with one column per field."""
     claims = lineage_claims(table(spark, folder, "ukb_dmca_lineages"))
-    winners, _ = discover_truth(claims, trust_ranks(spark, folder))
+    winners, _ = discover_truth(claims, trust_ranks(spark, folder), least_records=2)
     pick = [F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELDS]
     return winners.groupBy(F.col("entity").alias("lineage_id")).agg(*pick)
 

@@ -65,7 +65,10 @@ def test_usable_claims(spark):
     columns = "record_id long, lineage_id string, record_source string, fetched_at_utc timestamp, source_repo string, first_observed_repo_date string, first_observed_offending_commit_date string, removal_or_disable_date string, value string, entity string"
     row = lambda i, lineage, repo, day: (i, lineage, "good", None, repo, day, "2007-12-31", "2027-01-01", "clash", "clash")
     df = spark.createDataFrame([row(1, " ukbl-1", "x/", "2020-02-30"), row(2, "UKBL-1 ", "https://www.h.example/A/b.git", "31 Dec 2026"), row(3, "UKBL-2", "a/b", "2020-01-01"), row(4, None, "a/b", None)], columns)
-    got = sorted((r["entity"], r["field"], r["value"], r["record"]) for r in lineage_claims(df).collect())
+    claims = lineage_claims(df)
+    assert claims.count() == 12
+    found = discover_truth(claims, RANKS, least_records=2)[0]
+    got = sorted((r["entity"], r["field"], r["value"], r["record"]) for r in found.collect())
     assert got == [("UKBL-1", "first_observed_repo_date", "2026-12-31", 2), ("UKBL-1", "source_repo", "a/b", 2)]
 
 
