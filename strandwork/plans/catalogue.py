@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandwork.plans import aggregates, calendar, models, problems, relational, streams, texts
+from strandwork.plans import aggregates, calendar, linkage, models, problems, relational, streams, texts
 
 
 def modules() -> list:
-    return [problems, relational, aggregates, calendar, texts, models, streams]
+    return [problems, relational, aggregates, calendar, texts, models, linkage, streams]

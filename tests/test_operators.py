@@ -82,3 +82,27 @@ def test_stream_gives_what_the_batch_gives(spark, folder, tmp_path):
     query.awaitTermination(120)
     key = lambda df: sorted((str(r["window_start"]), r["event_type"], r["n"], round(r["total"], 6)) for r in df.collect())
     assert key(spark.table("w")) == key(windowed(events))
+
+
+def test_best_pairs_hold_the_best_of_each_row(spark):
+    import random
+
+    from strandwork.operators import linkage as K
+
+    random.seed(3)
+    value = lambda n: random.choice([None, "", *(["hot"] * 3), *(f"v{i}" for i in range(n))])
+    left = [(i, value(4), value(3), value(5)) for i in range(60)]
+    right = [(i, value(4), value(3), value(5)) for i in range(150)]
+    points = (35, 15, 20)
+    expected = set()
+    for i, *a in left:
+        scored = sorted((-sum(p for p, x, y in zip(points, a, b) if x and x == y), str(j), j) for j, *b in right if (a[0] and a[0] == b[0]) or (a[2] and a[2] == b[2]))
+        expected |= {(i, j, -s) for s, _, j in scored[:5]}
+    frame = lambda rows, i: spark.createDataFrame(rows, f"{i} int, t string, n string, p string")
+    pairs = K.best_pairs(frame(left, "a"), frame(right, "b"), "a", "b", ["t", "n", "p"], ["t", "p"], 5)
+    both = pairs.join(frame(left, "a"), "a").join(frame(right, "b").toDF("b", "t2", "n2", "p2"), "b")
+    components = [K.Component(c, F.when((F.col(c) == F.col(f"{c}2")) & (F.col(c) != ""), float(w))) for c, w in zip("tnp", points)]
+    best = K.rank_and_grade(K.score_pairs(both, components), "a", "b", 5)
+    assert {(r["a"], r["b"], int(r["score"])) for r in best.collect()} == expected
+    assert pairs.count() <= 60 * 5 * 6
+    assert K.infer_columns(["App ID", "projectTitle", "notes"], {"id": ("app id",), "title": ("title",), "when": ("date",)}) == {"id": "App ID", "title": "projectTitle", "when": None}
