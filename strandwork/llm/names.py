@@ -168,9 +168,9 @@ def candidate_keys(nodes: DataFrame, least_suffix: int = 4, max_block: int = 40)
     """(node, key): the blocks of each node (node, kind, given, main, canon), none of them above ``max_block`` but by keys that hardly repeat.
 
     1. every suffix of the main part from ``least_suffix`` letters on; 2. suffixes that more than ``max_block`` nodes share are
-    refined with the given part; 3. those still too common also with the first letters of the main part and its
-    suffix; 4. what remains is discarded and its nodes get keys of one deleted letter, which every pair one letter apart shares.
-    Suffixes of the given part are common from the start: they enter refined with the first letters of the main part.
+    refined with the given part, and whole main parts that are too common with the given part less one letter; 3. suffixes of the given
+    part are common from the start and enter refined with the first letters of the main part; 4. what is still above
+    ``max_block`` is discarded and its nodes get keys of one letter deleted, which every pair one edit or swap apart shares.
     """
     size = lambda keyed: keyed.groupBy("key").agg(F.count("*").alias("n"))
     base = nodes.select("node", "kind", "given", "main", F.explode("canon").alias("g"))
@@ -179,13 +179,15 @@ def candidate_keys(nodes: DataFrame, least_suffix: int = 4, max_block: int = 40)
     common = size(plain.select("node", "key").distinct()).filter(F.col("n") > max_block).select("key")
     kept = plain.join(common, "key", "left_anti").select("node", "key")
     refined = plain.join(common, "key", "left_semi").select("node", "kind", "main", "g", "suffix", F.concat_ws("|", F.lit("g"), "kind", "suffix", "g").alias("key"))
+    # a main part shared by too many: its nodes still meet where the given parts are one letter apart
+    shared = plain.filter(F.col("suffix") == F.col("main")).join(common, "key", "left_semi").select("node", F.explode(F.transform(_deletions(F.col("g")), lambda d: F.concat_ws("|", F.lit("e"), "kind", "main", d))).alias("key"))
     fronts = base.select("node", "kind", "main", "g", F.lit("").alias("suffix"), F.explode(F.array(F.substr("main", F.lit(1), F.lit(2)), F.substr("main", F.lit(1), F.lit(4)))).alias("front")).filter((F.length("front") == 4) | (F.length("main") < 8)).select("node", "kind", "main", "g", "suffix", F.concat_ws("|", F.lit("f"), "kind", "g", "front").alias("key"))
     refined = refined.unionByName(fronts)
     still = size(refined.select("node", "key").distinct()).filter(F.col("n") > max_block).select("key")
     kept2 = refined.join(still, "key", "left_anti").select("node", "key")
     rest = refined.join(still, "key", "left_semi").select("node", "kind", "main", "g").distinct()
     exact = rest.select("node", F.explode(F.transform(_deletions(F.col("main")), lambda d: F.concat_ws("|", F.lit("d"), "kind", "g", d))).alias("key"))
-    return kept.unionByName(kept2).unionByName(exact).distinct()
+    return kept.unionByName(kept2).unionByName(shared).unionByName(exact).distinct()
 
 
 def link_names(names: DataFrame, least_suffix: int = 4, max_block: int = 40) -> DataFrame:
