@@ -92,11 +92,12 @@ def split_values(cells: DataFrame, source: str, cell: str, rules: dict[str, Spli
     """One row per value: the columns of ``cells`` but ``cell``, then ``pos`` (from 1) and ``item`` (as written, without
     outer blanks, quotes and list marks). Cells with fewer than ``at_least`` values give none; repeats count and stay.
 
-    Null and blank cells hold no value. Sources without rule (seen first after the rules were made) are left whole.
-    The split is a narrow step: the only shuffle is the profile's, of one row per source and task.
+    Null and blank cells hold no value. Sources without rule (null, or seen first after the rules were made) are left whole. Columns
+    of the cells that are called ``pos`` or ``item`` give way to the new ones; repeated cells stay repeated, and an
+    empty table gives an empty result. The split is a narrow step: the only shuffle is the profile's, of one row per source
+    and task.
     """
-    if pos in cells.columns or item in cells.columns:
-        raise ValueError(f"{pos!r} and {item!r} must not be columns of the cells")
+    cells = cells.drop(*[c for c in (pos, item) if c not in (source, cell)])
     if rules is None:
         rules = infer_rules(cells, source, cell)
     text = F.col(cell)

@@ -51,8 +51,8 @@ def test_inferred_rules(cells):
 
 def test_edges(spark, cells):
     assert split_values(cells.limit(0), "source", "cell").count() == 0
-    with pytest.raises(ValueError):
-        split_values(cells.withColumnRenamed("id", "pos"), "source", "cell")
+    clash = split_values(cells.withColumnsRenamed({"id": "pos"}).selectExpr("*", "'x' as item_value", "1 as __q"), "source", "cell")
+    assert clash.columns == ["source", "__q", "pos", "item_value"] and clash.filter("item_value = 'x'").count() == 0
     long = spark.createDataFrame([(1, "n", ";".join(map(str, range(20_000)))), (1, "n", "1;2"), (1, "n", "1;2"), (2, None, "1;2")], "id int, source string, cell string")
     out = split_values(long, "source", "cell", at_least=2)
     assert out.count() == 20_004  # a cell without source stays whole, repeated cells stay repeated
