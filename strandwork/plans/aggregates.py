@@ -112,8 +112,8 @@ def summary_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register(
-    """SELECT o_orderpriority, q, n, round(quantile_cont(o_totalprice, 0.25), 6) AS quantile FROM (SELECT o_orderpriority, o_totalprice, 0.25 AS q, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) GROUP BY ALL
-    UNION ALL SELECT o_orderpriority, 0.5, count(*), round(quantile_cont(o_totalprice, 0.5), 6) FROM orders GROUP BY 1 UNION ALL SELECT o_orderpriority, 0.975, count(*), round(quantile_cont(o_totalprice, 0.975), 6) FROM orders GROUP BY 1"""
+    """SELECT o_orderpriority, q, n, round(quantile_cont(o_totalprice, 0.25), 6) AS quantile FROM (SELECT o_orderpriority, o_totalprice, 0.25::DOUBLE AS q, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) GROUP BY ALL
+    UNION ALL SELECT o_orderpriority, 0.5::DOUBLE, count(*), round(quantile_cont(o_totalprice, 0.5), 6) FROM orders GROUP BY 1 UNION ALL SELECT o_orderpriority, 0.975::DOUBLE, count(*), round(quantile_cont(o_totalprice, 0.975), 6) FROM orders GROUP BY 1"""
 )
 def quantiles_by_group(spark: SparkSession, folder: str) -> DataFrame:
     found = exact_quantiles(table(spark, folder, "orders").select("o_orderpriority", "o_totalprice"), "o_totalprice", [0.25, 0.5, 0.975], ["o_orderpriority"])

@@ -127,7 +127,7 @@ def event_time_means(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     """WITH m AS (SELECT unnest(generate_series(DATE '1994-01-01', DATE '1997-12-01', INTERVAL 1 MONTH))::DATE AS month), t AS (SELECT month, row_number() OVER (ORDER BY month) AS time FROM m)
-    SELECT month, time, (month >= DATE '1996-07-01')::INT AS post, CASE WHEN month >= DATE '1996-07-01' THEN date_diff('month', DATE '1996-07-01', month) ELSE 0 END AS time_after, month(month) AS month_of_year FROM t"""
+    SELECT month, time::INT AS time, (month >= DATE '1996-07-01')::INT AS post, (CASE WHEN month >= DATE '1996-07-01' THEN date_diff('month', DATE '1996-07-01', month) ELSE 0 END)::INT AS time_after, month(month)::INT AS month_of_year FROM t"""
 )
 def design_columns(spark: SparkSession, folder: str) -> DataFrame:
     """Time from 1, the post flag, and time after the break, 0 in the break's month."""

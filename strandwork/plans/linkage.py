@@ -36,14 +36,14 @@ def _scored(spark: SparkSession, folder: str) -> tuple[DataFrame, list[K.Compone
     return K.score_pairs(both, components), components
 
 
-@register(f"{_SCORED} SELECT row_id, reg_id, rank, round(score, 2) AS score, round(score - second, 2) AS gap, CASE WHEN rank > 1 THEN 'candidate' WHEN score >= 70 AND strong >= 2 AND score - second >= 12 THEN 'probable' WHEN score >= 45 AND second >= score - 10 THEN 'ambiguous' WHEN score >= 50 AND strong >= 2 THEN 'ambiguous' ELSE 'unresolved' END AS grade FROM g")
+@register(f"{_SCORED} SELECT row_id, reg_id, rank::INT AS rank, round(score, 2)::DOUBLE AS score, round(score - second, 2)::DOUBLE AS gap, CASE WHEN rank > 1 THEN 'candidate' WHEN score >= 70 AND strong >= 2 AND score - second >= 12 THEN 'probable' WHEN score >= 45 AND second >= score - 10 THEN 'ambiguous' WHEN score >= 50 AND strong >= 2 THEN 'ambiguous' ELSE 'unresolved' END AS grade FROM g")
 def graded_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Candidates that share a title or a lead, the best five of each with the gap to the second and a grade."""
     scored, _ = _scored(spark, folder)
     return K.rank_and_grade(scored, "row_id", "reg_id", 5, (70, 2, 12)).select("row_id", "reg_id", "rank", "score", "gap", "grade")
 
 
-@register(f"{_SCORED} SELECT component, strength, count(*) AS n, round(sum(points), 2) AS points FROM (SELECT 'title' AS component, 'strong' AS strength, t AS points FROM p SEMI JOIN g USING (row_id, reg_id) UNION ALL SELECT 'institution', 'weak', i FROM p SEMI JOIN g USING (row_id, reg_id) UNION ALL SELECT 'pi', 'strong', n FROM p SEMI JOIN g USING (row_id, reg_id)) WHERE points > 0 GROUP BY ALL")
+@register(f"{_SCORED} SELECT component, strength, count(*) AS n, round(sum(points), 2)::DOUBLE AS points FROM (SELECT 'title' AS component, 'strong' AS strength, t AS points FROM p SEMI JOIN g USING (row_id, reg_id) UNION ALL SELECT 'institution', 'weak', i FROM p SEMI JOIN g USING (row_id, reg_id) UNION ALL SELECT 'pi', 'strong', n FROM p SEMI JOIN g USING (row_id, reg_id)) WHERE points > 0 GROUP BY ALL")
 def evidence_long(spark: SparkSession, folder: str) -> DataFrame:
     """The components behind the best five candidates."""
     scored, components = _scored(spark, folder)

@@ -135,7 +135,7 @@ def anti_members(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register(
-    """SELECT s_nationkey, s_suppkey, s_acctbal, rank FROM (SELECT s_nationkey, s_suppkey, s_acctbal, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier) WHERE rank <= 3"""
+    """SELECT s_nationkey, s_suppkey, s_acctbal, rank::INT AS rank FROM (SELECT s_nationkey, s_suppkey, s_acctbal, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier) WHERE rank <= 3"""
 )
 def topk_per_group(spark: SparkSession, folder: str) -> DataFrame:
     from strandwork.operators.ordered import top_k
