@@ -253,7 +253,7 @@ def within(df: DataFrame, columns: list[str], effects: list[str], sweeps: int =
     for _ in range(sweeps):
         change = 0.0
         for e in effects:
-            means = data.groupBy(e).agg(*[F.avg(c).alias(f"__{c}") for c in columns])
+            means = cut(data.groupBy(e).agg(*[F.avg(c).alias(f"__{c}") for c in columns]))
             joined = data.join(means, e)
             top = means.agg(*[F.max(F.abs(f"__{c}")) for c in columns]).first()
             change = max([change, *[abs(v) for v in top if v is not None]])

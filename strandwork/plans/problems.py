@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandwork.operators.references import existence_deltas, orphan_references, whole_number
 from strandwork.operators.split_values import infer_rules, split_values
 from strandwork.operators.timestamps import normalise_timestamps
+from strandwork.plans.packed_sql import P3_FOUND
 from strandwork.sources.tables import table
 
 
@@ -129,6 +130,7 @@ WITH refs AS (
   WHERE k IS NOT NULL AND NOT EXISTS (SELECT 1 FROM held h WHERE h.t = r.t AND h.k = r.k)
 )"""
 ORACLE_SQL = {
+    "p3_found": P3_FOUND,
     "p4_found": f"{_P4} SELECT * FROM found",
     "p4_report": f"{_P4} SELECT ref_table, ref_field, period, count(*) AS orphan_refs, count(DISTINCT missing_key) AS missing_keys FROM found GROUP BY ALL",
 }
