@@ -27,6 +27,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Characters behind the end of a piece that may decide it: a contraction needs two more, ``\s+(?!\S)`` two.
 LOOK_AHEAD = 3
 _CACHE = 200_000
+#: rows whose ids are held at a time
+_SLICE = 512
 
 
 class Node:
@@ -128,17 +130,19 @@ def encode_texts(df: DataFrame, text: str = "text", out: str = "ids", vocabulary
     """Add ``out``, the ids of column ``text`` as a list of integers; rows stay as they are, whatever else they hold.
 
     Null and empty texts give an empty list; repeated rows are encoded alike. Nothing is shuffled: a task reads
-    its rows in Arrow batches and a very long text costs memory in proportion to itself only. An existing column ``out`` is replaced.
+    its rows in Arrow batches, holds the ids of a few hundred at a time, and a very long text costs memory in proportion to itself only. An existing column ``out`` is replaced.
     """
     source = df.drop(out) if out != text else df
     schema = StructType([*source.schema.fields, StructField(out, ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, leaf_chars).encode
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            ids = pa.array([encode(t) for t in texts], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
+        for whole in batches:
+            for k in range(0, whole.num_rows, _SLICE):
+                batch = whole.slice(k, _SLICE)
+                texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+                ids = pa.array([encode(t) for t in texts], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
 
     return source.mapInArrow(run, schema)
 
