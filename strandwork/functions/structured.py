@@ -52,3 +52,16 @@ def merge_maps(a: Column, b: Column) -> Column:
     empty = F.create_map().cast("map<string,string>")
     a, b = F.coalesce(a, empty), F.coalesce(b, empty)
     return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
+
+# How citation and package files name what they say.
+_CLUES = {"title": r"title", "doi": r"doi", "authors": r"authors?(?:@r)?", "url": r"(?:url|repository-code|homepage)", "version": r"version"}
+
+
+def paper_clues(text: Column) -> Column:
+    """Map of title, doi, authors, url and version from lines ``name: value`` of citation and package files; the first line of each name counts."""
+    pairs = []
+    for name, pattern in _CLUES.items():
+        value = F.trim(F.regexp_replace(F.regexp_extract(text, rf"(?im)^\s*[-\"']?{pattern}[\"']?\s*[:=]\s*(.+?)\s*,?$", 1), r"^[\"']+|[\"']+$", ""))
+        pairs.append(F.struct(F.lit(name).alias("key"), value.alias("value")))
+    return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"] != ""))

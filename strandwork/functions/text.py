@@ -90,3 +90,15 @@ def name_in_tokens(person: Column, words: Column) -> Column:
     parts = F.regexp_extract_all(F.lower(person), F.lit(r"[a-z]+"), F.lit(0))
     last, first = F.try_element_at(parts, F.lit(-1)), F.try_element_at(parts, F.lit(1))
     return F.coalesce(F.array_contains(words, last) & (F.array_contains(words, first) | F.array_contains(words, F.substr(first, F.lit(1), F.lit(1)))), F.lit(False))
+
+
+def rule_hits(c: Column, rules: list[tuple[str, str]]) -> Column:
+    """Array of (order, rule, position, hit) of the first match of every rule that matches, in the order of the rules."""
+    hits = [F.struct(F.lit(i).alias("order"), F.lit(name).alias("rule"), F.regexp_instr(c, F.lit(p)).alias("position"), F.regexp_extract(c, p, 0).alias("hit")) for i, (name, p) in enumerate(rules)]
+    return F.filter(F.array(*hits), lambda h: h["position"] > 0)
+
+
+def near(c: Column, a: str, b: str, within: int) -> Column:
+    """Whether matches of two patterns lie within so many characters of each other."""
+    gap = rf"[\s\S]{{0,{within}}}?"
+    return c.rlike(f"(?:{a}){gap}(?:{b})|(?:{b}){gap}(?:{a})")

@@ -126,3 +126,14 @@ def base64_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 def owner_among_authors(spark: SparkSession, folder: str) -> DataFrame:
     words = F.regexp_extract_all(F.lower(F.coalesce("paper_authors", F.lit(""))), F.lit("[a-z]+"), F.lit(0))
     return table(spark, folder, "ukb_dmca_repositories").filter("repo_owner_public_name is not null").select("repo_row_id", T.name_in_tokens(F.col("repo_owner_public_name"), words).alias("named"))
+
+
+_RULES = [("percent", "[0-9.]+ per cent"), ("cohort size", "[0-9,]+ participants"), ("year", "20[0-9]{2}")]
+
+
+@register(
+    "SELECT doc_id, rule, position::INT AS position, hit FROM (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS o, '{n}' AS rule, strpos(text, regexp_extract(text, '{p}')) AS position, regexp_extract(text, '{p}') AS hit FROM documents WHERE regexp_matches(text, '{p}')" for i, (n, p) in enumerate(_RULES)) + ")"
+)
+def ordered_rule_hits(spark: SparkSession, folder: str) -> DataFrame:
+    hits = table(spark, folder, "documents").filter("text is not null").select("doc_id", F.inline(T.rule_hits(F.col("text"), _RULES)))
+    return hits.select("doc_id", "rule", "position", "hit")

@@ -124,3 +124,12 @@ def scan_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes, sha256) of files."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def replay_responses(requests: DataFrame, cache: DataFrame, url: str = "url") -> DataFrame:
+    """Requests with what a staged table (url, status, body, fetched_at) holds for them; nothing is fetched.
+
+    The latest response counts, failures (status 0) don't, and a request without one has nulls.
+    """
+    kept = cache.filter("status > 0").groupBy("url").agg(F.max_by(F.struct("status", "body", "fetched_at"), F.struct("fetched_at", "status")).alias("r"))
+    return requests.join(kept.withColumnRenamed("url", url), url, "left").select(*requests.columns, "r.status", "r.body", "r.fetched_at")

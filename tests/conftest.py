@@ -15,7 +15,7 @@ def spark():
     from strandwork.session import build_session
 
     session = build_session(
-        "tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.sql.autoBroadcastJoinThreshold": "256k"}
+        "tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.sql.autoBroadcastJoinThreshold": "256k", "spark.sql.maxMetadataStringLength": "2000"}
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
