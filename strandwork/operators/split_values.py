@@ -1,6 +1,6 @@
 """Several values packed in one cell: infer the delimiters of each source, split, keep the positions.
 
-A first pass scores every candidate delimiter of every source on two grounds, piece-type regularity (do the pieces
+A first pass, over the counts of alike cells, scores every candidate delimiter of every source on two grounds, piece-type regularity (do the pieces
 look like values of the source's type?) and piece-count consistency (does the split give as many pieces as
 the cell has value starts?). Its result has one row per source and candidate, whatever the number of cells. The second
 pass splits at runs of accepted delimiters, but only where a value of the source's type begins, so that a delimiter
@@ -15,16 +15,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Candidate delimiters (name, pattern) and value types (name, what a value begins with, the whole value), most specific first.
+from strandwork.session import cut
+
+# Candidate delimiters (name, pattern) and value types (name, what a value begins with, its mark in a skeleton), most specific first.
 DELIMITERS = {
     "line break": r"[\r\n]+", "tab": r"\t+", "semicolon": r"\s*;\s*", "comma": r"\s*,\s*", "bar": r"\s*\|\s*", "slash": r"\s+/\s+", "ampersand": r"\s*&\s*",
     "plus": r"\s*\+\s*", "and": r"\s+and\s+", "fullwidth": r"\s*[；，、]\s*", "space": r"[  ]+",
 }
 TYPES = (
-    ("address", r"(?:https?|ftp)://", r"(?:https?|ftp)://\S+"),
-    ("doi", r"(?:https?://(?:dx\.)?doi\.org/|(?i:doi:)\s*)?10\.\d{4,9}/", r"(?:https?://(?:dx\.)?doi\.org/|(?i:doi:)\s*)?10\.\d{4,9}/\S+"),
-    ("number", r"\d", r"\d+(?:\.\d+)?"),
-    ("text", r"[^\s]", r"[\s\S]+"),
+    ("address", r"(?:https?|ftp)://", "\x01"),
+    ("doi", r"(?:https?://(?:dx\.)?doi\.org/|(?i:doi:)\s*)?10\.\d{4,9}/", "\x02"),
+    ("number", r"\d", "\x03"),
+    ("text", r"[^\s]", r"[^\s]"),
 )
 _QUOTES = "\"'“”‘’`"
 _OPEN = rf"[\s{_QUOTES}\[(]*"
@@ -48,34 +50,48 @@ def infer_rules(cells: DataFrame, source: str, cell: str, min_type_share: float
     """One rule per value of ``source``: the most specific type that ``min_type_share`` of its cells begin with, and
     the delimiters whose score (regularity times consistency over the cells that hold them) reaches ``min_score``.
 
-    Null and blank cells don't count; an empty table gives no rule. The collected result has a row per source, so ``source``
+    Null and blank cells and null sources don't count; an empty table gives no rule. The collected result has a row per source, so ``source``
     must be a set of bounded size, such as names of columns.
     """
     text = F.col(cell)
-    filled = cells.filter(F.length(F.trim(text)) > 0)
-    types = [F.avg(text.rlike(rf"^[\s;,|]*{_OPEN}{start}").cast("int")).alias(f"t{t}") for t, (_, start, _) in enumerate(TYPES)]
+    filled = cells.filter(F.col(source).isNotNull() & (F.length(F.trim(text)) > 0))
+    # the cells are read once: all that the scores depend on is a cell's skeleton, and alike ones are counted
+    profile = cut(filled.groupBy(F.col(source).alias("source"), _skeleton(text).alias("s")).agg(F.count("*").alias("n")))
+    share = lambda flag: F.sum(F.col("n") * flag.cast("int")) / F.sum("n")
+    begins = [share(F.col("s").rlike(rf"^[\s;,|]*{_OPEN}{mark}")).alias(f"t{t}") for t, (_, _, mark) in enumerate(TYPES)]
+    kinds = {r["source"]: next((x for i, x in enumerate(TYPES) if r[f"t{i}"] >= min_type_share), TYPES[-1]) for r in profile.groupBy("source").agg(*begins).collect()}
     rules = {}
-    for row in filled.groupBy(source).agg(*types).collect():
-        if row[source] is None:
-            continue
-        kind, start, _ = next((x for i, x in enumerate(TYPES) if row[f"t{i}"] >= min_type_share), TYPES[-1])
-        starts = _count(text, rf"(?:^|[\s;,|/&+；，、{_QUOTES}\[]){start}")
-        own = filled.filter(F.col(source) == F.lit(row[source])).select(text, starts.alias("__starts"))
-        aggs = []
+    for kind, _, mark in dict.fromkeys(kinds.values()):
+        own = profile.filter(F.col("source").isin(*[k for k, v in kinds.items() if v[0] == kind])).withColumn("starts", _count(F.col("s"), rf"(?:^|[\s;,|/&+；，、{_QUOTES}\[]){mark}"))
+        scores = []
         for name, pattern in DELIMITERS.items():
-            pieces, good = _count(text, pattern), _count(text, rf"{pattern}(?={_OPEN}{start})")
-            aggs.append(F.avg(F.when(text.rlike(pattern), good / pieces * (good + 1) / F.greatest("__starts", good + 1))).alias(name))
-        scores = {k: v for k, v in own.agg(*aggs).first().asDict().items() if v is not None}
-        allowed = {k: v for k, v in scores.items() if v >= min_score}
-        if kind == "text":  # words hold blanks, slashes and the like: only hard delimiters are certain
-            soft = ("space", "and", "slash", "ampersand", "plus", "comma")
-            allowed = {k: v for k, v in allowed.items() if k not in soft} or {k: v for k, v in allowed.items() if k == "comma"}
-        rules[row[source]] = SplitRule(row[source], kind, tuple(k for k in DELIMITERS if k in allowed), tuple((k, round(v, 4)) for k, v in scores.items()))
+            pieces, good = _count(F.col("s"), pattern), _count(F.col("s"), rf"{pattern}(?={_OPEN}{mark})")
+            one = good / pieces * (good + 1) / F.greatest("starts", good + 1)
+            holds = F.col("s").rlike(pattern)
+            scores.append(F.try_divide(F.sum(F.when(holds, one * F.col("n"))), F.sum(F.when(holds, F.col("n")))).alias(name))
+        for row in own.groupBy("source").agg(*scores).collect():
+            found = {k: row[k] for k in DELIMITERS if row[k] is not None}
+            allowed = {k for k, v in found.items() if v >= min_score}
+            if kind == "text":  # words hold blanks, slashes and the like: only hard delimiters are certain
+                soft = {"space", "and", "slash", "ampersand", "plus", "comma"}
+                allowed = allowed - soft or allowed & {"comma"}
+            rules[row["source"]] = SplitRule(row["source"], kind, tuple(k for k in DELIMITERS if k in allowed), tuple((k, round(v, 4)) for k, v in found.items()))
     return rules
 
 
+def _skeleton(text: Column) -> Column:
+    """Delimiters, quotes and white space of a cell as they are, beginnings of addresses and identifiers and numbers as marks, other runs as one ``a``."""
+    s = F.regexp_replace(text, r"[\x01-\x04]", "")
+    s = F.regexp_replace(s, TYPES[1][1], TYPES[1][2])
+    s = F.regexp_replace(s, TYPES[0][1], TYPES[0][2])
+    s = F.regexp_replace(s, r"\d+(?:\.\d+)?", TYPES[2][2])
+    s = F.regexp_replace(s, r"(?<=\s)and(?=\s)", "\x04")
+    s = F.regexp_replace(s, rf"[^\s;,|/&+；，、{_QUOTES}\[\]\x01-\x04]+", "a")
+    return F.regexp_replace(s, "\x04", "and")
+
+
 def _pieces(cell: Column, rule: SplitRule) -> Column:
-    start = next(s for n, s, _ in TYPES if n == rule.kind)
+    start = next(begin for n, begin, _ in TYPES if n == rule.kind)
     bare = F.regexp_replace(cell, r"(?U)^\s+|\s+$", "")
     bare = F.when(bare.rlike(r"^\[[\s\S]*\]$"), F.regexp_extract(bare, r"^\[([\s\S]*)\]$", 1)).otherwise(bare)
     if rule.delimiters:
