@@ -291,3 +291,35 @@ def cluster_bootstrap(df: DataFrame, cluster: str, statistic: Callable[[DataFram
         mass /= k + 1
     per = df.select("*", reps).withColumn("w", weight)
     return per.groupBy("replicate").agg(*statistic(per))
+
+
+def month_dummies(first_month: int, months: int) -> tuple[np.ndarray, list[str]]:
+    """Columns of the months of the year but January, for a series that begins in ``first_month``."""
+    of_year = (np.arange(months) + first_month - 1) % 12 + 1
+    return np.column_stack([(of_year == m).astype(float) for m in range(2, 13)]), [f"month{m:02d}" for m in range(2, 13)]
+
+
+def ols_stacked_hac(x: np.ndarray, y: np.ndarray, periods: np.ndarray, names: list[str], lag: int) -> Fit:
+    """Least squares on stacked series: scores are summed within a period before they are lagged over the periods."""
+    bread = invert(x.T @ x)
+    beta = bread @ (x.T @ y)
+    scores = x * (y - x @ beta)[:, None]
+    sums = np.array([scores[periods == p].sum(0) for p in np.unique(periods)])
+    return Fit(names, beta, bread @ bartlett(sums, lag) @ bread, len(y))
+
+
+def poisson_series(x: np.ndarray, y: np.ndarray, names: list[str], lag: int, offset: np.ndarray | None = None, tol: float = 1e-9, rounds: int = 100) -> Fit:
+    """Poisson by Newton steps on a series with position-lagged errors and the Pearson dispersion."""
+    off = np.zeros(len(y)) if offset is None else offset
+    beta = np.zeros(x.shape[1])
+    beta[0] = math.log(y.sum() / np.exp(off).sum())
+    for _ in range(rounds):
+        mu = np.exp(np.clip(x @ beta + off, -30, 30))
+        step = np.linalg.solve((x * mu[:, None]).T @ x, x.T @ (y - mu))
+        beta = beta + step
+        if np.abs(step).max() < tol:
+            break
+    mu = np.exp(np.clip(x @ beta + off, -30, 30))
+    bread = invert((x * mu[:, None]).T @ x)
+    cov = bread @ bartlett(x * (y - mu)[:, None], lag) @ bread
+    return Fit(names, beta, cov, len(y), {"dispersion": float(((y - mu) ** 2 / mu).sum() / (len(y) - x.shape[1]))})
