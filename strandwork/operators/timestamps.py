@@ -8,6 +8,8 @@ patterns and the zone rules run in one generated stage without a shuffle.
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,8 +67,11 @@ def fields(value: Column, locale: Column | None = None) -> Column:
 
 
 def known_zones(df: DataFrame) -> list[str]:
-    """Names of all zones the JVM knows (a fixed set of a few hundred)."""
-    return sorted(df.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds())
+    """Names of all zones the JVM knows (a fixed set of a few hundred), or the standard library where the JVM is out of reach."""
+    try:
+        return sorted(df.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds())
+    except Exception:  # a remote session has no JVM here
+        return sorted(available_timezones() - {"Factory", "localtime"})
 
 
 def _step(df: DataFrame, added: dict[str, Column]) -> DataFrame:

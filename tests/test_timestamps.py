@@ -93,3 +93,14 @@ def test_repeated_rows_clashing_names_and_no_rows(spark):
     out = normalise_timestamps(df, "value")
     assert out.columns == ["value", "__tsv", "utc_us"] and [r["utc_us"] for r in out.collect()] == [us(2024, 1, 1)] * 2
     assert normalise_timestamps(df.limit(0), "value").count() == 0
+
+
+def test_the_session_zone_does_not_matter(spark):
+    df = spark.createDataFrame([(i, v, z, loc) for i, (v, z, loc, _) in enumerate(CASES)], SCHEMA)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = {r["id"]: r["utc_us"] for r in normalise_timestamps(df, "value", "zone", "locale").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == {i: c[3] for i, c in enumerate(CASES)}
