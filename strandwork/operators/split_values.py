@@ -95,7 +95,8 @@ def _pieces(cell: Column, rule: SplitRule) -> Column:
     bare = F.regexp_replace(cell, r"(?U)^\s+|\s+$", "")
     bare = F.when(bare.rlike(r"^\[[\s\S]*\]$"), F.regexp_extract(bare, r"^\[([\s\S]*)\]$", 1)).otherwise(bare)
     if rule.delimiters:
-        run = rf"(?:[{_QUOTES}]?(?:{'|'.join(DELIMITERS[d] for d in rule.delimiters)}))+"
+        # possessive, so that a long run takes no stack
+        run = rf"(?:[{_QUOTES}]?(?:{'|'.join(DELIMITERS[d] for d in rule.delimiters)}))++"
         bare = F.regexp_replace(bare, rf"^(?:{run})?|(?:{run})?$", "")
         parts = F.split(bare, rf"{run}(?={_OPEN}{start})", -1)
     else:

@@ -53,6 +53,8 @@ CASES = [
     ("  ", None, None, None),
     (None, "Asia/Tokyo", "en-US", None),
     ("9" * 100_000, None, None, None),
+    ("2024-01-01 " * 20_000, None, None, None),
+    ("Mon " * 50_000, None, None, None),
     ("2024-01-01T10:00:00 QQQ", None, None, None),
 ]
 
