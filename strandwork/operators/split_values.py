@@ -28,6 +28,8 @@ TYPES = (
     ("number", r"\d", "\x03"),
     ("text", r"[^\s]", r"[^\s]"),
 )
+#: single characters that delimiters are made of
+_CHARS = {"semicolon": ";", "comma": ",", "bar": "|", "ampersand": "&", "plus": "+", "fullwidth": "；，、"}
 _QUOTES = "\"'“”‘’`"
 _OPEN = rf"[\s{_QUOTES}\[(]*"
 
@@ -87,21 +89,24 @@ def _skeleton(text: Column) -> Column:
     s = F.regexp_replace(s, r"\d+(?:\.\d+)?", TYPES[2][2])
     s = F.regexp_replace(s, r"(?<=\s)and(?=\s)", "\x04")
     s = F.regexp_replace(s, rf"[^\s;,|/&+；，、{_QUOTES}\[\]\x01-\x04]+", "a")
-    return F.regexp_replace(s, "\x04", "and")
+    s = F.regexp_replace(F.regexp_replace(s, "\x04", "and"), r"[\r\n]+", "\n")
+    return F.regexp_replace(F.regexp_replace(s, r"\t+", "\t"), r"[ \u00a0]+", " ")
 
 
 def _pieces(cell: Column, rule: SplitRule) -> Column:
     start = next(begin for n, begin, _ in TYPES if n == rule.kind)
-    bare = F.regexp_replace(cell, r"(?U)^\s+|\s+$", "")
+    bare = F.regexp_replace(cell, r"(?U)^\s+|(?<!\s)\s+$", "")
     bare = F.when(bare.rlike(r"^\[[\s\S]*\]$"), F.regexp_extract(bare, r"^\[([\s\S]*)\]$", 1)).otherwise(bare)
     if rule.delimiters:
-        # possessive, so that a long run takes no stack
-        run = rf"(?:[{_QUOTES}]?(?:{'|'.join(DELIMITERS[d] for d in rule.delimiters)}))++"
-        bare = F.regexp_replace(bare, rf"^(?:{run})?|(?:{run})?$", "")
-        parts = F.split(bare, rf"{run}(?={_OPEN}{start})", -1)
+        # possessive, so that a long run takes no stack; tried only where a run begins, so that it takes no time either
+        run = rf"(?:[{_QUOTES}]*(?:{'|'.join(DELIMITERS[d] for d in rule.delimiters)}))++"
+        inside = "".join(_CHARS.get(d, "") for d in rule.delimiters)
+        fresh = rf"(?<![\s{inside}{_QUOTES}]){run}"
+        bare = F.regexp_replace(bare, rf"^{run}|{fresh}$", "")
+        parts = F.split(bare, rf"{fresh}(?={_OPEN}{start})", -1)
     else:
         parts = F.array(bare)
-    parts = F.transform(parts, lambda x: F.regexp_replace(x, rf"(?U)^[\s{_QUOTES}]+|[\s{_QUOTES}]+$", ""))
+    parts = F.transform(parts, lambda x: F.regexp_replace(x, rf"(?U)^[\s{_QUOTES}]+|(?<![\s{_QUOTES}])[\s{_QUOTES}]+$", ""))
     return F.filter(parts, lambda x: x != "")
 
 
@@ -118,7 +123,7 @@ def split_values(cells: DataFrame, source: str, cell: str, rules: dict[str, Spli
     if rules is None:
         rules = infer_rules(cells, source, cell)
     text = F.col(cell)
-    whole = F.array(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
+    whole = F.array(F.regexp_replace(text, r"(?U)^\s+|(?<!\s)\s+$", ""))
     cases = [(F.col(source) == F.lit(name), _pieces(text, rule)) for name, rule in rules.items() if name is not None]
     parts = reduce(lambda acc, case: acc.when(*case), cases[1:], F.when(*cases[0])).otherwise(whole) if cases else whole
     keep = [c for c in cells.columns if c != cell]

@@ -55,7 +55,7 @@ def _int(text: Column) -> Column:
 
 def fields(value: Column, locale: Column | None = None) -> Column:
     """The nine fields as one ``|``-joined text, null where no pattern fits."""
-    v = F.regexp_replace(value, r"(?U)^\s+|\s+$|\|", "")
+    v = F.regexp_replace(value, r"(?U)^\s+|(?<!\s)\s+$|\|", "")
     for _, pattern, to in FORMS:  # what one pattern has rewritten holds bars, so none of the later ones fits it
         v = F.regexp_replace(v, pattern, to)
     day_first, month_first = "$4|$3|$1|$5|$6|$7|$8|$9|$10", "$4|$1|$3|$5|$6|$7|$8|$9|$10"
@@ -111,7 +111,7 @@ def normalise_timestamps(
     while any(c.startswith(tmp) for c in keep):
         tmp += "_"
     col = lambda name: F.col(f"`{name}`")
-    raw = F.regexp_replace(col(value).cast("string"), r"(?U)^\s+|\s+$", "")
+    raw = F.regexp_replace(col(value).cast("string"), r"(?U)^\s+|(?<!\s)\s+$", "")
     staged = _step(df, {f"{tmp}v": raw, f"{tmp}f": F.split(fields(col(value).cast("string"), col(locale) if locale else None), r"\|", 9)})
     at = lambda i: F.col(f"{tmp}f")[i]
     month = F.coalesce(_int(at(1)), _lookup(MONTHS, at(1)))

@@ -56,7 +56,7 @@ def test_edges(spark, cells):
     long = spark.createDataFrame([(1, "n", ";".join(map(str, range(20_000)))), (1, "n", "1;2"), (1, "n", "1;2"), (2, None, "1;2")], "id int, source string, cell string")
     out = split_values(long, "source", "cell", at_least=2)
     assert out.count() == 20_004  # a cell without source stays whole, repeated cells stay repeated
-    odd = spark.createDataFrame([(1, "n", ";" * 200_000 + "1" + ' ;"' * 100_000 + "2"), (2, "n", "1;2"), (3, "n", '"' * 200_000)], "id int, source string, cell string")
-    assert sorted((r["id"], r["item_value"]) for r in split_values(odd, "source", "cell").collect()) == [(1, "1"), (1, "2"), (2, "1"), (2, "2")]
+    odd = spark.createDataFrame([(1, "n", ";" * 200_000 + "1" + ' ;"' * 100_000 + "2"), (2, "n", "1;2"), (3, "n", '"' * 200_000), (4, "n", "1" + " " * 200_000 + "2")], "id int, source string, cell string")
+    assert sorted((r["id"], r["item_value"]) for r in split_values(odd, "source", "cell").collect()) == [(1, "1"), (1, "2"), (2, "1"), (2, "2"), (4, "1"), (4, "2")]
     words = spark.createDataFrame([(1, "t", "alpha beta; gamma"), (2, "t", "delta and co; x")], "id int, source string, cell string")
     assert sorted(r["item_value"] for r in split_values(words, "source", "cell").collect()) == ["alpha beta", "delta and co", "gamma", "x"]
