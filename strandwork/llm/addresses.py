@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Words that stand for "not known".
 UNKNOWN = ("unknown", "unresolved", "tbd", "tbc", "none", "not found", "not known", "n/a", "na", "nan", "null", "-", "--", "?", "??", "deleted", "404", "repository unavailable", "pending", "missing", "")
 
-_SPACES = r"(?U)^\s+|\s+$"
+_SPACES = r"(?U)^\s+|(?<!\s)\s+$"
 
 
 def known(text: Column) -> Column:
@@ -26,7 +26,7 @@ def repository(text: Column) -> Column:
     t = known(text)
     t = F.regexp_replace(t, r"[?#].*$", "")
     t = F.regexp_replace(t, r"(?U)\s*/\s*", "/")
-    web = r"^(?:git\+)?(?:[a-z]+://)?(?:[^@/\s]+@)?(?:[a-z0-9-]+\.)+[a-z]{2,}(?::\d+)?[/:]+([^/\s:]+)/+([^/\s]+?)(?:\.git)?(?:/.*)?$"
+    web = r"^(?:git\+)?(?:[a-z]+://)?(?:[^@/\s]+@)?(?:[a-z0-9-]+\.)++[a-z]{2,}(?::\d+)?[/:]+([^/\s:]+)/+([^/\s]+?)(?:\.git)?(?:/.*)?$"
     bare = r"^([^/\s:@]+)/([^/\s:]+?)(?:\.git)?/*$"
     pick = lambda p: F.concat(F.regexp_extract(t, p, 1), F.lit("/"), F.regexp_extract(t, p, 2))
     # "owner.with.dot/name" has two parts; a host has at least an owner and a name behind it

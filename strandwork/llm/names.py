@@ -197,7 +197,7 @@ def link_names(names: DataFrame, least_suffix: int = 4, max_block: int = 40) ->
     letter off) and initial if there is just one, so that it never ties two people. Null, empty and "not known" names
     are left out, repeated ones count once; an empty table gives an empty result.
     """
-    trimmed = names.select("kind", F.regexp_replace("name", r"(?U)^\s+|\s+$", "").alias("name")).filter(known(F.col("name")).isNotNull()).distinct()
+    trimmed = names.select("kind", F.regexp_replace("name", r"(?U)^\s+|(?<!\s)\s+$", "").alias("name")).filter(known(F.col("name")).isNotNull()).distinct()
     spelled = cut(trimmed.mapInArrow(_read, "kind string, name string, given string, main string, canon array<string>").filter("main is not null and main != ''"))
     read = spelled.dropDuplicates(["kind", "given", "main"])
     nodes = cut(read.select(F.xxhash64("kind", "given", "main").alias("node"), "kind", "given", "main", "canon", ((F.col("kind") == "person") & (F.length("given") <= 1)).alias("short")))

@@ -133,10 +133,11 @@ _ESCAPED_SLOT = re.compile(r"&lt;\s*([^\W\d_][\w .-]{1,40}?)\s*&gt;")
 _BRACKET_SLOT = re.compile(r"\[([A-Z][A-Z _]{1,40})\](?!\()")
 _SLOTS = re.compile("|".join(SLOT_FORMS))
 _NOUNS = frozenset(SLOT_NOUNS.split())
-_CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]+`|<code>.*?</code>|\b[fFrR]\"[^\"\n]*\"|\b[fFrR]'[^'\n]*'|\$[^$\n]*\\[^$\n]*\$", re.S)
+#: code and formulas; every part is bounded, so that unclosed ones in long texts cost no more than their share
+_CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]{1,400}`|<code>.{0,4000}?</code>|\b[fFrR]\"[^\"\n]{0,400}\"|\b[fFrR]'[^'\n]{0,400}'|\$[^$\n\\]{0,100}\\[^$\n]{0,300}\$", re.S)
 _RULE = re.compile(r"^[ \t]*[_X-]{3,}[ \t]*$", re.M)
 _TAG = re.compile(r"</?[A-Za-z!][^<>]{0,300}>")
-_HEAD = re.compile(r"<(head|title|style|script)\b[^>]*>.*?</\1>", re.I | re.S)
+_HEAD = re.compile(r"<(head|title|style|script)\b[^>]{0,300}>.{0,20000}?</\1>", re.I | re.S)
 _FURNITURE = re.compile(r"^\s*(?:\[\d{4}-\d\d-\d\d[^\]\n]*\]|Home >[^\n]*)|\(c\) \d{4} [^\n|]*(?:\|[^\n|]*)+$", re.M | re.I)
 _TERM = re.compile(r"\x00slot|[぀-ヿ㐀-鿿가-힯]+|[^\W_]+")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")

@@ -92,7 +92,7 @@ def lineage_claims(lineages: DataFrame) -> DataFrame:
     A date is usable if it names a real calendar day from 2008 to 2026 (compared as days); a repository if both owner
     and name are there.
     """
-    entity = F.upper(F.regexp_replace("lineage_id", r"(?U)^\s+|\s+$", ""))
+    entity = F.upper(F.regexp_replace("lineage_id", r"(?U)^\s+|(?<!\s)\s+$", ""))
     records = lineages.select(entity.alias("entity"), "record_id", "record_source", "fetched_at_utc", *FIELDS).filter("entity is not null and entity != ''")
     claims = records.select(
         "entity",

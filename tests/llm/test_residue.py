@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from strandwork.llm.residue import ResidueIndex, detect_residue, exemplars, without_residue
@@ -45,6 +47,13 @@ def test_texts_that_speak_of_it(index, text):
     assert text is None or index.judge(LEAD + text) is None
 
 
+def test_long_odd_texts_take_no_longer_than_long_plain_ones(index):
+    began = time.perf_counter()
+    for part in ("<code>", "$\\\\a ", "f\"", "{{ a", "(a b ", "[AB ", "`", "<script>", "&lt;a ", "____ ", "lorem ", "## | ", "'r "):
+        index.judge(part * 40_000)
+    assert time.perf_counter() - began < 60
+
+
 def test_tables(spark):
     rows = [(1, "Dear {{ pi_name }},", "k"), (2, LEAD, "k"), (3, None, "k"), (4, "", "k"), (5, LEAD * 3000 + "Funding: XXXXXX.", "k"), (1, "Dear {{ pi_name }},", "k"), (None, "x", "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, kind string")

@@ -74,6 +74,6 @@ def test_usable_claims(spark):
 
 def test_addresses(spark):
     same = ["https://codehost.example/Own/Name.git", "http://www.codehost.example/own/name/", "git@codehost.example:own/name.git", "codehost.example/own/name", " own / name ", "https://raw.codehost.example/own/name/main/a/b.csv", "https://codehost.example/own/name/blob/dev/x?plain=1#L2", "ssh://git@codehost.example/own/name", "OWN/NAME"]
-    none = ["own/", "/name", "unknown", "N/A", "", "  ", None, "404", "see notice", "https://codehost.example/own"]
+    none = ["own/", "/name", "unknown", "N/A", "", "  ", None, "404", "see notice", "https://codehost.example/own", "a." * 100_000, "own/" * 0 + "x" * 200_000, "@" * 100_000]
     df = spark.createDataFrame([(t,) for t in same + none], "t string").select(repository(F.col("t")))
     assert [r[0] for r in df.collect()] == ["own/name"] * len(same) + [None] * len(none)
