@@ -13,6 +13,13 @@ register = Register()
 QUERIES, ORACLE_SQL = register.queries, register.sql
 
 
+def _span(spark: SparkSession, folder: str, unit: str, start: str, end: str) -> tuple[str, str]:
+    """The first and last period of the orders, but ``start`` to ``end`` at least: one aggregated row."""
+    d = F.trunc("o_orderdate", unit) if unit != "day" else F.to_date("o_orderdate")
+    first, last = F.least(F.min(d), F.lit(start).cast("date")), F.greatest(F.max(d), F.lit(end).cast("date"))
+    return tuple(table(spark, folder, "orders").agg(first.cast("string"), last.cast("string")).first())
+
+
 def _series(name: str, unit: str, step: str, start: str, end: str, interval: str):
     sql = f"""WITH c AS (SELECT date_trunc('{unit}', o_orderdate)::DATE AS period, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderpriority = '5-LOW') AS low FROM orders GROUP BY 1)
     SELECT s.period, coalesce(urgent, 0) AS urgent, coalesce(low, 0) AS low, coalesce(urgent, 0) - coalesce(low, 0) AS difference FROM (SELECT unnest(generate_series(DATE '{start}', DATE '{end}', INTERVAL {interval}))::DATE AS period) s LEFT JOIN c USING (period)"""
@@ -20,7 +27,7 @@ def _series(name: str, unit: str, step: str, start: str, end: str, interval: str
     def query(spark: SparkSession, folder: str) -> DataFrame:
         period = F.trunc("o_orderdate", unit) if unit != "day" else F.to_date("o_orderdate")
         counts = table(spark, folder, "orders").groupBy(period.alias("period")).agg(F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"), F.count_if(F.col("o_orderpriority") == "5-LOW").alias("low"))
-        return C.gap_filled(C.spine(spark, start, end, step), counts, "period", ["urgent", "low"]).withColumn("difference", F.col("urgent") - F.col("low"))
+        return C.gap_filled(C.spine(spark, *_span(spark, folder, unit, start, end), step), counts, "period", ["urgent", "low"]).withColumn("difference", F.col("urgent") - F.col("low"))
 
     query.__name__ = name
     register(sql)(query)
