@@ -40,14 +40,15 @@ def risk_panel_quarter() -> int:
         d = r["o_orderdate"].date()
         starts[r["o_custkey"]] = min(d, starts.get(r["o_custkey"], d))
         counts[r["o_custkey"], d.year, (d.month - 1) // 3] += 1
+    end = max([(1998, 3), *((y, q) for _, y, q in counts)])
+    quarters = [(y, q) for y in range(min([1992, *(d.year for d in starts.values())]), end[0] + 1) for q in range(4) if (y, q) <= end]
     out = []
     for c, start in starts.items():
-        for y in range(1992, 1999):
-            for q in range(4):
-                first = dt.date(y, 3 * q + 1, 1)
-                last = dt.date(y + (q == 3), (3 * q + 3) % 12 + 1, 1) - dt.timedelta(days=1)
-                if last >= start:
-                    out.append((c, first, last, (last - max(first, start)).days + 1, start > first, counts[c, y, q]))
+        for y, q in quarters:
+            first = dt.date(y, 3 * q + 1, 1)
+            last = dt.date(y + (q == 3), (3 * q + 3) % 12 + 1, 1) - dt.timedelta(days=1)
+            if last >= start:
+                out.append((c, first, last, (last - max(first, start)).days + 1, start > first, counts[c, y, q]))
     return len(out)
 
 

@@ -92,7 +92,6 @@ def point_in_time_denominator(spark: SparkSession, folder: str) -> DataFrame:
     return filled.select(F.col("period").alias("month"), F.sum("n").over(Window.orderBy("period")).alias("started"))
 
 
-_PERIODS = [(f"{y}-{3 * q + 1:02d}-01", f"{y}-{3 * q + 3:02d}-{(31, 30, 30, 31)[q]}") for y in range(1992, 1999) for q in range(4)]
 _Q = "SELECT unnest(generate_series(DATE '1992-01-01', DATE '1998-10-01', INTERVAL 3 MONTH))::DATE AS period_start"
 _PANEL = f"""s AS (SELECT o_custkey, min(o_orderdate)::DATE AS start FROM orders GROUP BY 1), q AS (SELECT period_start, (period_start + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS period_end FROM ({_Q})),
 c AS (SELECT o_custkey, date_trunc('quarter', o_orderdate)::DATE AS period_start, count(*) AS n FROM orders GROUP BY 1, 2),
@@ -100,11 +99,18 @@ panel AS (SELECT s.o_custkey, q.period_start, q.period_end, date_diff('day', gre
  FROM s JOIN q ON q.period_end >= s.start LEFT JOIN c ON c.o_custkey = s.o_custkey AND c.period_start = q.period_start)"""
 
 
+def _quarters(first: str, last: str) -> list[tuple[str, str]]:
+    """First and last day of each quarter, the quarters that begin on ``first`` and ``last`` included."""
+    n = [int(d[:4]) * 4 + (int(d[5:7]) - 1) // 3 for d in (first, last)]
+    return [(f"{k // 4}-{3 * (k % 4) + 1:02d}-01", f"{k // 4}-{3 * (k % 4) + 3:02d}-{(31, 30, 30, 31)[k % 4]}") for k in range(n[0], n[1] + 1)]
+
+
 def _panel(spark: SparkSession, folder: str) -> DataFrame:
+    periods = _quarters(*_span(spark, folder, "quarter", "1992-01-01", "1998-10-01"))
     orders = table(spark, folder, "orders")
     starts = orders.groupBy("o_custkey").agg(F.min(F.to_date("o_orderdate")).alias("start"))
     counts = orders.groupBy("o_custkey", F.trunc("o_orderdate", "QUARTER").alias("period_start")).agg(F.count("*").alias("n"))
-    panel = C.at_risk_panel(starts, "o_custkey", "start", _PERIODS).join(counts, ["o_custkey", "period_start"], "left").join(starts, "o_custkey")
+    panel = C.at_risk_panel(starts, "o_custkey", "start", periods).join(counts, ["o_custkey", "period_start"], "left").join(starts, "o_custkey")
     return panel.select("o_custkey", "period_start", "period_end", F.col("at_risk_days").cast("bigint").alias("at_risk_days"), "first_partial", F.coalesce("n", F.lit(0)).alias("n"), F.floor(C.calendar_months(F.trunc("start", "QUARTER"), F.col("period_start")) / 3).alias("age"))
 
 

@@ -27,3 +27,20 @@ def test_series_hold_every_order(spark, folder, duck, name, unit, literal):
     same_but_for_the_end(spark, folder, duck, name, literal, last(unit))
     got = QUERIES[name](spark, folder).toPandas()
     assert (got["urgent"].sum(), got["low"].sum()) == duck.execute("SELECT count(*) FILTER (o_orderpriority = '1-URGENT'), count(*) FILTER (o_orderpriority = '5-LOW') FROM orders").fetchone()
+
+
+@pytest.mark.parametrize("name", ["risk_panel_quarter", "age_bins", "event_time_means", "eligible_both_sides"])
+def test_panels_hold_every_order(spark, folder, duck, name):
+    same_but_for_the_end(spark, folder, duck, name, "1998-10-01", last("quarter"))
+    got, (orders, customers) = QUERIES[name](spark, folder).toPandas(), duck.execute("SELECT count(*), count(DISTINCT o_custkey) FROM orders").fetchone()
+    if name == "risk_panel_quarter":
+        assert (got["n"].sum(), got["o_custkey"].nunique()) == (orders, customers)
+    if name == "age_bins":
+        assert got["events"].sum() == orders
+
+
+@pytest.mark.parametrize("name", ["poisson_qmle", "fe_did_cluster"])
+def test_fits_see_the_whole_panel(spark, folder, duck, name):
+    panel = duck.execute(SQL["risk_panel_quarter"].replace("DATE '1998-10-01'", last("quarter"))).df()
+    seen = len(panel) if name == "poisson_qmle" else (panel["period_start"].astype(str) >= "1995-01-01").sum()
+    assert set(QUERIES[name](spark, folder).toPandas()["n_obs"]) == {seen}
