@@ -213,11 +213,12 @@ def top_institutions(spark: SparkSession, folder: str) -> DataFrame:
 )
 def cohort_rates(spark: SparkSession, folder: str) -> DataFrame:
     from strandwork.operators.calendar import spine
+    from strandwork.plans.calendar import _span
 
     first = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderdate").alias("d"))
     hits = first.join(table(spark, folder, "customer").select("c_custkey", "c_acctbal"), "c_custkey").groupBy(F.trunc("d", "QUARTER").alias("quarter")).agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") < 0).alias("events"))
     zero = F.lit(0)
-    return spine(spark, "1992-01-01", "1998-10-01", "3 months", "quarter").join(hits, "quarter", "left").select("quarter", F.coalesce("n", zero).alias("n"), F.coalesce("events", zero).alias("events"), F.round(F.try_divide("events", "n"), 6).alias("rate"))
+    return spine(spark, *_span(spark, folder, "quarter", "1992-01-01", "1998-10-01"), "3 months", "quarter").join(hits, "quarter", "left").select("quarter", F.coalesce("n", zero).alias("n"), F.coalesce("events", zero).alias("events"), F.round(F.try_divide("events", "n"), 6).alias("rate"))
 
 
 # ---- ordered series ----

@@ -87,8 +87,8 @@ def policy_window_counts(spark: SparkSession, folder: str) -> DataFrame:
 )
 def point_in_time_denominator(spark: SparkSession, folder: str) -> DataFrame:
     """Entities that had started by each month's end: a running sum of first months, not a range join."""
-    first = table(spark, folder, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("d")).groupBy(F.greatest(F.trunc("d", "MM"), F.lit("1992-01-01").cast("date")).alias("period")).agg(F.count("*").alias("n"))
-    filled = C.gap_filled(C.spine(spark, "1992-01-01", "1998-12-01"), first, "period", ["n"])
+    first = table(spark, folder, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("d")).groupBy(F.trunc("d", "MM").alias("period")).agg(F.count("*").alias("n"))
+    filled = C.gap_filled(C.spine(spark, *_span(spark, folder, "month", "1992-01-01", "1998-12-01")), first, "period", ["n"])
     return filled.select(F.col("period").alias("month"), F.sum("n").over(Window.orderBy("period")).alias("started"))
 
 

@@ -44,3 +44,10 @@ def test_fits_see_the_whole_panel(spark, folder, duck, name):
     panel = duck.execute(SQL["risk_panel_quarter"].replace("DATE '1998-10-01'", last("quarter"))).df()
     seen = len(panel) if name == "poisson_qmle" else (panel["period_start"].astype(str) >= "1995-01-01").sum()
     assert set(QUERIES[name](spark, folder).toPandas()["n_obs"]) == {seen}
+
+
+@pytest.mark.parametrize(("name", "unit", "literal", "column"), [("point_in_time_denominator", "month", "1998-12-01", "started"), ("cohort_rates", "quarter", "1998-10-01", "n")])
+def test_every_customer_has_started(spark, folder, duck, name, unit, literal, column):
+    same_but_for_the_end(spark, folder, duck, name, literal, last(unit))
+    got, (customers,) = QUERIES[name](spark, folder).toPandas(), duck.execute("SELECT count(DISTINCT o_custkey) FROM orders").fetchone()
+    assert (got[column].max() if column == "started" else got[column].sum()) == customers
