@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandwork.operators import calendar as C
@@ -159,13 +159,18 @@ def _second(spark: SparkSession, folder: str) -> DataFrame:
     return days.join(first, "o_custkey").groupBy("o_custkey", "start").agg(F.min(F.when(F.col("d") > F.col("start"), F.col("d"))).alias("event"))
 
 
+def _last_day(spark: SparkSession, folder: str) -> Column:
+    """The last day on which orders are seen: follow-up that hasn't ended by then is censored there. One aggregated row."""
+    return F.lit(table(spark, folder, "orders").agg(F.max(F.to_date("o_orderdate"))).first()[0]).cast("date")
+
+
 @register(
     f"""WITH {_NEXT}, h AS (SELECT unnest([6, 12, 24]) AS months) SELECT months, count(*) FILTER ((start + to_months(months))::DATE <= DATE '1998-08-02') AS eligible, count(*) FILTER ((start + to_months(months))::DATE <= DATE '1998-08-02' AND event <= (start + to_months(months))::DATE) AS inclusive,
     count(*) FILTER ((start + to_months(months))::DATE <= DATE '1998-08-02' AND event < (start + to_months(months))::DATE) AS exclusive FROM e, h GROUP BY months"""
 )
 def fixed_followup(spark: SparkSession, folder: str) -> DataFrame:
     """Events within fixed horizons among entities whose horizon ends by the censoring day; the horizon's last day in and out."""
-    c = F.lit("1998-08-02").cast("date")
+    c = _last_day(spark, folder)
     until = lambda k: F.add_months("start", k)
     ok = lambda k: until(k) <= c
     one = _second(spark, folder).agg(*[x.alias(f"{n}{k}") for k in (6, 12, 24) for n, x in (("e", F.count_if(ok(k))), ("i", F.count_if(ok(k) & (F.col("event") <= until(k)))), ("x", F.count_if(ok(k) & (F.col("event") < until(k)))))])
@@ -180,7 +185,7 @@ def fixed_followup(spark: SparkSession, folder: str) -> DataFrame:
 )
 def km_curve(spark: SparkSession, folder: str) -> DataFrame:
     """Kaplan-Meier curve of the time to the next event; one row per day of follow-up, so the windows see a few thousand rows at most."""
-    t = F.datediff(F.coalesce("event", F.lit("1998-12-31").cast("date")), F.col("start")).cast("bigint")
+    t = F.datediff(F.coalesce("event", _last_day(spark, folder)), F.col("start")).cast("bigint")
     c = _second(spark, folder).groupBy(t.alias("t")).agg(F.count("event").alias("events"), F.count("*").alias("leaving"))
     r = c.select("t", "events", F.sum("leaving").over(Window.orderBy(F.desc("t"))).alias("at_risk"))
     w, some = Window.orderBy("t"), F.col("events") < F.col("at_risk")

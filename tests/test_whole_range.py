@@ -51,3 +51,15 @@ def test_every_customer_has_started(spark, folder, duck, name, unit, literal, co
     same_but_for_the_end(spark, folder, duck, name, literal, last(unit))
     got, (customers,) = QUERIES[name](spark, folder).toPandas(), duck.execute("SELECT count(DISTINCT o_custkey) FROM orders").fetchone()
     assert (got[column].max() if column == "started" else got[column].sum()) == customers
+
+
+@pytest.mark.parametrize(("name", "literal"), [("fixed_followup", "1998-08-02"), ("km_curve", "1998-12-31")])
+def test_follow_up_ends_with_the_last_order(spark, folder, duck, name, literal):
+    same_but_for_the_end(spark, folder, duck, name, literal, "(SELECT max(o_orderdate)::DATE FROM orders)")
+
+
+def test_no_time_is_negative_and_orders_set_the_censoring_day(spark, tmp_path):
+    days = [(1, "1999-03-01"), (1, "1999-04-01"), (2, "1999-06-01"), (3, "2000-03-01")]
+    spark.createDataFrame(days, "o_custkey int, d string").selectExpr("o_custkey", "d::timestamp AS o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    assert [tuple(r)[:3] for r in QUERIES["km_curve"](spark, str(tmp_path)).orderBy("t").collect()] == [(0, 3, 0), (31, 2, 1), (274, 1, 0)]
+    assert {r["months"]: (r["eligible"], r["inclusive"]) for r in QUERIES["fixed_followup"](spark, str(tmp_path)).collect()} == {6: (2, 1), 12: (1, 1), 24: (0, 0)}
