@@ -170,7 +170,8 @@ def candidate_keys(nodes: DataFrame, least_suffix: int = 4, max_block: int = 40)
     1. every suffix of the main part from ``least_suffix`` letters on; 2. suffixes that more than ``max_block`` nodes share are
     refined with the given part, and whole main parts that are too common with the given part less one letter; 3. suffixes of the given
     part are common from the start and enter refined with the first letters of the main part; 4. what is still above
-    ``max_block`` is discarded and its nodes get keys of one letter deleted, which every pair one edit or swap apart shares.
+    ``max_block`` is discarded and its nodes get keys of one letter deleted, which every pair one edit or swap apart shares; 5. a person's
+    two parts in order of the alphabet, so that a reading meets the one with its parts swapped: no more than those two nodes share it.
     """
     size = lambda keyed: keyed.groupBy("key").agg(F.count("*").alias("n"))
     base = nodes.select("node", "kind", "given", "main", F.explode("canon").alias("g"))
@@ -187,7 +188,8 @@ def candidate_keys(nodes: DataFrame, least_suffix: int = 4, max_block: int = 40)
     kept2 = refined.join(still, "key", "left_anti").select("node", "key")
     rest = refined.join(still, "key", "left_semi").select("node", "kind", "main", "g").distinct()
     exact = rest.select("node", F.explode(F.transform(_deletions(F.col("main")), lambda d: F.concat_ws("|", F.lit("d"), "kind", "g", d))).alias("key"))
-    return kept.unionByName(kept2).unionByName(shared).unionByName(exact).distinct()
+    swapped = nodes.filter((F.col("kind") == "person") & (F.col("given") != "")).select("node", F.concat_ws("|", F.lit("w"), "kind", F.least("given", "main"), F.greatest("given", "main")).alias("key"))
+    return kept.unionByName(kept2).unionByName(shared).unionByName(exact).unionByName(swapped).distinct()
 
 
 def link_names(names: DataFrame, least_suffix: int = 4, max_block: int = 40) -> DataFrame:

@@ -92,3 +92,8 @@ def test_a_common_surname_still_links_slips_of_the_given_name(spark):
     slips = ["Jonahtan", "Penelpe", "Kwwame", "Ingird", "Waltor", "Xiulann", "Roslind", "Thodore"]
     got = pairs(spark, [("person", f"{g} Brudoskem", "") for g in given + slips], max_block=2)
     assert got == {("person", *sorted((f"{a} Brudoskem", f"{b} Brudoskem"))) for a, b in zip(given, slips)}
+
+
+def test_readings_with_their_parts_swapped_meet(spark):
+    got = pairs(spark, [("person", n, "") for n in ("Brudoskem Jonathan", "Jonathan Brudoskem", "Penelope Quist", "Quist Walter")])
+    assert got == {("person", "Brudoskem Jonathan", "Jonathan Brudoskem")}
