@@ -1,276 +1,165 @@
-"""Problem 5: repository rows matched to applications without a shared key, by BM25 retrieval over topic and people.
-
-An application is a document of three terms: its factor, its outcome and its lead, each read from free text (synonyms,
-abbreviations and one-letter slips allowed; people by the entities of the name linkage). A repository row is a query of its
-paper's factor, its outcome and its people. All documents are equally long, so the BM25 score of a pair is the sum of the inverse
-document frequencies of the terms it shares, and the highest scores are found exactly by looking up sets of terms, largest
-first (as in a BM25 with coordination, more shared terms rank before fewer): postings are kept per set of terms with their
-number of applications, so a frequent term alone never brings its whole list together with a query. A pair counts if each
-is the other's nearest, ties included.
+"""Problem 5: repository rows matched to applications without a shared key, by BM25 retrieval over subject and people.
+
+An application is a document of terms: the phrases of its title and its lead (an entity of the name linkage). A repository row asks
+once for each of its people, with the phrases of its paper's title read as the application's by links learnt from the data
+(``synonyms``). Titles are equally short, so the BM25 score of a pair is the sum of the inverse document frequencies of
+the terms it shares. Postings are kept per person and pair of phrases, so a frequent term alone never brings its list
+together with an asking row; what shares fewer terms scores less and is needed only as a number, for the gap.
+A pair counts if each is the other's nearest and a logistic function of the gap to the runner-up makes it likelier true than not.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.llm.names import fold, link_names, typed_names
+from strandwork.llm.names import link_names, typed_names
+from strandwork.llm.phrases import title_keys, title_phrases
+from strandwork.llm.synonyms import learn_links
 from strandwork.session import cut
 from strandwork.sources.tables import table
 
-# What factors and outcomes of health studies are called, one a line, the name used here first.
-FACTORS = """
-blood pressure; systolic and diastolic pressure; systolic blood pressure; sbp
-household income; socioeconomic position; socioeconomic status
-grip strength; hand-grip strength; handgrip strength
-vitamin d; 25-hydroxyvitamin d; 25(oh)d
-bone mineral density; bmd; bone density
-grey matter volume; gm volume; gray matter volume
-copy number variation; cnvs; copy number variants
-coffee drinking; coffee consumption; coffee intake
-shift work; night-shift working; night shift work
-lipoprotein(a); lp(a)
-smoking history; tobacco smoking; cigarette smoking
-urinary sodium; sodium excretion
-air pollution; ambient particulate matter; particulate matter
-corneal hysteresis; corneal biomechanics
-alcohol intake; alcohol consumption; alcohol use
-noise exposure; road traffic noise
-telomere length; leucocyte telomere length; leukocyte telomere length
-thyroid hormones; tsh and free t4; thyroid hormone levels
-inflammatory markers; c-reactive protein; crp
-cataract surgery; lens replacement
-cardiac strain; myocardial strain
-loneliness; social isolation
-birth weight; weight at birth; birthweight
-red meat intake; red and processed meat; red meat consumption
-physical activity; accelerometer-measured activity; exercise
-dietary fibre; fibre intake; dietary fiber
-menopausal hormone therapy; hrt; hormone replacement therapy
-reaction time; processing speed
-green space; residential greenness; greenspace
-metabolomic profiles; nmr metabolites; metabolomics
-visceral fat; visceral adipose tissue
-occupational dust; workplace dust exposure
-plasma proteins; the plasma proteome; plasma proteome
-retinal vessel calibre; fundus vessel width; retinal vessel caliber
-iron status; serum ferritin
-sleep duration; hours of sleep
-statin use; statin therapy; statins
-rare coding variants; loss-of-function variants
-polygenic scores; polygenic risk scores; polygenic score
-body mass index; bmi
-"""
-OUTCOMES = """
-multiple sclerosis; ms
-endometriosis; endometrial lesions
-migraine; recurrent migraine
-type 2 diabetes; t2d; type ii diabetes
-eczema; atopic dermatitis
-sarcopenia; muscle loss
-epilepsy; adult epilepsy
-heart failure; hf
-osteoarthritis; oa of the hip and knee
-diverticulitis; diverticular disease
-pulmonary fibrosis; lung scarring
-aortic stenosis; aortic valve disease
-gout; gouty arthritis
-depression; major depressive disorder; mdd
-prostate cancer; prostatic carcinoma
-fatty liver; hepatic steatosis
-hip fracture; fragility fracture
-hearing loss; age-related hearing loss
-anxiety; anxiety disorders
-colorectal cancer; bowel cancer
-hypothyroidism; underactive thyroid
-stroke; ischaemic stroke; ischemic stroke
-glaucoma; primary open-angle glaucoma; poag
-bladder cancer; urothelial cancer
-psoriasis; psoriatic disease
-myocardial infarction; heart attack; mi
-insomnia; chronic insomnia
-coeliac disease; gluten enteropathy; celiac disease
-macular degeneration; amd; age-related macular degeneration
-long-term back pain; chronic back pain
-parkinson's disease; pd; parkinson disease
-rheumatoid arthritis; ra
-chronic kidney disease; ckd
-asthma; adult-onset asthma
-gallstones; gallstone disease
-atrial fibrillation; af
-dementia; all-cause dementia
-varicose veins; venous insufficiency
-tinnitus; persistent tinnitus
-venous thromboembolism; vte
-"""
-_WORD = re.compile(r"[^\W_]+")
-
-
-def _words(text: str) -> tuple[str, ...]:
-    return tuple(_WORD.findall(fold(text).casefold().replace("'", "").replace("’", "")))
-
-
-@lru_cache(maxsize=1)
-def _names() -> list[tuple[tuple[str, ...], str, str]]:
-    """(words, factor or outcome, name), longest first."""
-    found = []
-    for kind, block in (("factor", FACTORS), ("outcome", OUTCOMES)):
-        for line in block.strip().splitlines():
-            called = [x.strip() for x in line.split(";")]
-            found += [(_words(x), kind, called[0]) for x in called]
-    return sorted(found, key=lambda x: (-len(x[0]), -sum(map(len, x[0])), x[0]))
-
-
-@lru_cache(maxsize=1)
-def _by_first() -> dict[str, list[tuple[tuple[str, ...], str, str]]]:
-    index: dict[str, list] = {}
-    for called in _names():
-        index.setdefault(called[0][0], []).append(called)
-    return index
-
-
-def _slip(a: str, b: str) -> bool:
-    """One letter changed, doubled, left out or two neighbours swapped, in words of five letters or more."""
-    if a == b:
-        return True
-    n, m = len(a), len(b)
-    if min(n, m) < 5 or abs(n - m) > 1:
-        return False
-    i = next((k for k in range(min(n, m)) if a[k] != b[k]), min(n, m))
-    if n == m:
-        return a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
-    longer, shorter = (a, b) if n > m else (b, a)
-    return longer[i + 1 :] == shorter[i:]
-
-
-@lru_cache(maxsize=200_000)
-def read_topic(title: str) -> tuple[str | None, str | None]:
-    """(factor, outcome) that a title treats; None for what it doesn't name or names more than one of."""
-    words = _words(title)
-    used = [False] * len(words)
-    found: dict[str, set[str]] = {"factor": set(), "outcome": set()}
-
-    def take(places: list[tuple[int, int, str, str]]) -> None:
-        for size, k, kind, name in sorted(places, key=lambda x: (-x[0], x[1])):
-            if not any(used[k : k + size]):
-                found[kind].add(name)
-                used[k : k + size] = [True] * size
 
-    take([(len(c), k, kind, name) for k, w in enumerate(words) for c, kind, name in _by_first().get(w, ()) if words[k : k + len(c)] == c])
-    missing = [kind for kind in found if not found[kind]]
-    if missing:
-        places = []
-        for called, kind, name in _names():
-            size = len(called)
-            if kind in missing:
-                places += [(size, k, kind, name) for k in range(len(words) - size + 1) if all(_slip(called[j], words[k + j]) for j in range(size))]
-        take(places)
-    one = lambda s: next(iter(s)) if len(s) == 1 else None
-    return one(found["factor"]), one(found["outcome"])
-
-
-def with_topic(df: DataFrame, id_: str, title: str) -> DataFrame:
-    """(id, factor, outcome) of the rows whose title names both."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(i, *read_topic(t)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            columns = list(zip(*[r for r in rows if r[1] and r[2]])) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()))], names=["id", "factor", "outcome"])
-
-    source = df.select(F.col(id_).cast("bigint").alias("id"), F.col(title).cast("string").alias("title")).filter("id is not null and title is not null")
-    return source.mapInArrow(run, "id bigint, factor string, outcome string")
-
-
-_SETS = ("pfo", "fo", "po", "pf", "p", "o", "f")
-_TERMS = {"p": "person", "f": "factor", "o": "outcome"}
-
-
-def _key(terms: str) -> Column:
-    return F.concat_ws("|", F.lit(terms), *[F.col(_TERMS[t]).cast("string") for t in terms])
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> tuple[float, float]:
-    """(intercept, slope) of a ridge logistic regression by Newton steps."""
-    if len(x) == 0:
-        return 0.0, 1.0
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 100) -> np.ndarray:
+    """(intercept, slopes) of a ridge logistic regression by Newton steps; raises if they don't settle."""
     design = np.column_stack([np.ones(len(x)), x])
-    beta = np.zeros(2)
-    for _ in range(rounds):
+    beta = np.zeros(design.shape[1])
+    for _ in range(rounds if len(x) else 0):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        hessian = design.T @ (design * (p * (1 - p))[:, None]) + ridge * np.eye(2)
+        hessian = design.T @ (design * (p * (1 - p))[:, None]) + ridge * np.eye(len(beta))
         step = np.linalg.solve(hessian, design.T @ (y - p) - ridge * beta)
         beta += step
         if np.abs(step).max() < 1e-9:
-            break
-    return float(beta[0]), float(beta[1])
-
-
-def match_by_topic_and_people(queries: DataFrame, documents: DataFrame, calibration_rows: int = 20_000) -> DataFrame:
-    """(query, document, score, gap, confidence) of the mutual nearest pairs that share all three terms.
-
-    ``queries`` and ``documents`` have id, person, factor, outcome, one row per person. ``gap`` is the score over that of the
-    best document outside the pair's class; the confidence is a logistic function of it, fitted on at most about
-    ``calibration_rows`` queries drawn by a hash of their id, whose best class has or has not all three terms. Everything else
-    covers all rows. Nulls match nothing, ties all count, repeated rows count once and empty tables give an empty result.
+            return beta
+    if len(x):
+        raise RuntimeError(f"the calibration doesn't settle in {rounds} steps")
+    return beta
+
+
+def _twos(names: Column) -> Column:
+    """All pairs (a, b), a before b, of a sorted array."""
+    return F.flatten(F.transform(names, lambda a, i: F.transform(F.slice(names, i + 2, F.size(names)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+
+
+class Index:
+    """Postings of the documents (id, person, names: the sorted array of its phrases) and their weights."""
+
+    def __init__(self, documents: DataFrame):
+        self.documents = cut(documents)
+        total = float(self.documents.select("id").distinct().count())
+        idf = lambda n: F.log(1 + (F.lit(total) - n + 0.5) / (n + 0.5))
+        count = lambda df, *keys: df.distinct().groupBy(*keys).agg(F.count("*").alias("n"))
+        phrases = self.documents.select("id", F.explode("names").alias("d"))
+        self.phrase_weight = count(phrases, "d").select("d", idf(F.col("n")).alias("w"))
+        people = count(self.documents.select("id", "person"), "person")
+        self.person_weight = people.select("person", idf(F.col("n")).alias("pw"))
+        self.postings = self.documents.select("id", "person", F.inline(_twos(F.col("names"))))
+        alone = count(self.documents.select("id", "person", F.explode("names").alias("d")), "person", "d").select(F.concat_ws("|", F.lit("pd"), F.col("person").cast("string"), "d").alias("at"), "n")
+        subjects = count(self.postings.select("id", "a", "b"), "a", "b").select(F.concat_ws("|", F.lit("dd"), "a", "b").alias("at"), "n")
+        self.sizes = cut(alone.unionByName(subjects).unionByName(people.select(F.concat(F.lit("p|"), F.col("person").cast("string")).alias("at"), "n")))
+
+    def weighed(self, asks: DataFrame) -> DataFrame:
+        """Asks (id, person, names) with their weights and the score of a document that shares every term."""
+        terms = asks.select("id", "person", F.explode("names").alias("d")).join(self.phrase_weight, "d").groupBy("id", "person").agg(F.sort_array(F.collect_set(F.struct("d", "w"))).alias("terms"))
+        got = terms.join(self.person_weight, "person")
+        return got.withColumn("whole", F.aggregate("terms", F.col("pw"), lambda s, t: s + t["w"]))
+
+    def pairs(self, asks: DataFrame) -> DataFrame:
+        """(id, person, document, score) of all documents that share the person and two phrases at least."""
+        names = lambda: F.transform("terms", lambda t: t["d"])
+        asked = asks.select("id", "person", "terms", "pw", F.inline(_twos(names())))
+        held = self.postings.join(self.documents.withColumnRenamed("names", "all"), ["id", "person"]).withColumnRenamed("id", "document")
+        met = asked.join(held, ["person", "a", "b"]).withColumn("shared", F.filter("terms", lambda t: F.array_contains("all", t["d"])))
+        # a pair that shares more phrases comes once for each two of them: the first two stand for it
+        once = met.filter((F.col("a") == F.col("shared")[0]["d"]) & (F.col("b") == F.col("shared")[1]["d"]))
+        return once.select("id", "person", "document", F.aggregate("shared", F.col("pw"), lambda s, t: s + t["w"]).alias("score")).groupBy("id", "person", "document").agg(F.max("score").alias("score"))
+
+    def gaps(self, asks: DataFrame, pairs: DataFrame) -> DataFrame:
+        """(id, person, best, share, gap): the highest score of an ask and how far the next class of documents is behind, both also as shares of the whole."""
+        names = F.transform("terms", lambda t: t["d"])
+        who = F.col("person").cast("string")
+        sets = F.concat(
+            F.array(F.struct(F.concat(F.lit("p|"), who).alias("at"), F.col("pw").alias("score"))),
+            F.transform("terms", lambda t: F.struct(F.concat_ws("|", F.lit("pd"), who, t["d"]).alias("at"), (F.col("pw") + t["w"]).alias("score"))),
+            F.flatten(F.transform("terms", lambda t, i: F.transform(F.slice("terms", i + 2, F.size(names)), lambda u: F.struct(F.concat_ws("|", F.lit("dd"), t["d"], u["d"]).alias("at"), (t["w"] + u["w"]).alias("score"))))),
+        )
+        top = pairs.groupBy("id", "person").agg(F.max("score").alias("top"))
+        ranked = pairs.join(top, ["id", "person"]).groupBy("id", "person").agg(F.max("top").alias("top"), F.count_if(F.col("score") >= F.col("top") - 1e-9).alias("tied"), F.max(F.when(F.col("score") < F.col("top") - 1e-9, F.col("score"))).alias("second"))
+        found = asks.select("id", "person", "whole", F.inline(sets)).join(self.sizes, "at").groupBy("id", "person").agg(F.max("whole").alias("whole"), F.sort_array(F.collect_list(F.struct("score", "n")), asc=False).alias("sets"))
+        got = found.join(ranked, ["id", "person"], "left")
+        first = F.coalesce("top", F.col("sets")[0]["score"])
+        # a set of terms holds a further document if it is larger than the class of the best ones
+        beyond = F.array_max(F.transform(F.filter("sets", lambda s: s["n"] > F.col("tied")), lambda s: s["score"]))
+        after = F.when(F.col("top").isNull(), F.coalesce(F.try_element_at("sets", F.lit(2))["score"], F.lit(0.0))).otherwise(F.coalesce(F.greatest("second", beyond), F.lit(0.0)))
+        return got.select("id", "person", first.alias("best"), (first / F.col("whole")).alias("share"), (F.greatest(F.lit(0.0), first - after) / F.col("whole")).alias("gap"))
+
+
+def match_subject_and_people(queries: DataFrame, documents: DataFrame, calibration_rows: int = 20_000, slack: float = 0.2, least_confidence: float = 0.5) -> DataFrame:
+    """(query, document, score, gap, confidence) of the pairs that are mutually nearest and likelier true than not.
+
+    ``queries`` and ``documents`` have id, person and names (sorted array of phrases), a row per person. A pair is nearest on a side if its
+    score is within ``slack`` of that side's highest. The confidence, a function of the gap and of the share of its whole score that an ask attains, is calibrated on at most about ``calibration_rows`` asking
+    rows drawn by a hash, against decoys: the same rows with another asker's person. Where p is the logistic
+    probability that the row is no decoy, (1 - p) / p of such rows match by chance. Everything else covers all rows. Nulls match
+    nothing, ties all count, repeated rows count once and empty tables give an empty result.
+    """
+    clean = lambda df: df.select("id", "person", "names").dropna().distinct()
+    index = Index(clean(documents))
+    asks = cut(index.weighed(clean(queries)))
+    pairs = cut(index.pairs(asks))
+    gaps = cut(index.gaps(asks, pairs))
+    share = max(1, math.ceil(asks.count() / calibration_rows))
+    picked = asks.filter(F.pmod(F.xxhash64("id", "person"), F.lit(share)) == 0)
+    rows = sorted(picked.select("id", "person").collect())  # bounded by calibration_rows
+    people = [r["person"] for r in rows]
+    turned = [(r["id"], r["person"], people[(k + len(rows) // 2) % len(rows)]) for k, r in enumerate(rows)]
+    swap = queries.sparkSession.createDataFrame([t for t in turned if t[1] != t[2]], "id bigint, person bigint, other bigint")
+    names = F.transform("terms", lambda t: t["d"]).alias("names")
+    decoys = cut(index.weighed(picked.join(swap, ["id", "person"]).select("id", F.col("other").alias("person"), names).distinct()))
+    seen = lambda df: [(r["gap"], r["share"]) for r in df.select("gap", "share").collect()]
+    false, real = seen(index.gaps(decoys, index.pairs(decoys))), seen(gaps.join(picked.select("id", "person"), ["id", "person"], "left_semi"))
+    start, by_gap, by_share = map(float, fit_logistic(np.array(real + false, float).reshape(-1, 2), np.array([1.0] * len(real) + [0.0] * len(false))))
+    odds = F.exp(-(start + by_gap * F.col("gap") + by_share * F.col("share"))) * (len(real) / max(1, len(false)))
+    sure = gaps.select("id", "person", "best", "gap", F.greatest(F.lit(0.0), 1 - odds).alias("confidence")).filter(F.col("confidence") >= least_confidence)
+    nearest = pairs.groupBy("document", "person").agg(F.max("score").alias("back"))
+    mutual = pairs.join(sure, ["id", "person"]).join(nearest, ["document", "person"]).filter((F.col("score") >= (1 - slack) * F.col("best")) & (F.col("score") >= (1 - slack) * F.col("back")))
+    return mutual.groupBy(F.col("id").alias("query"), "document").agg(F.max("score").alias("score"), F.max("gap").alias("gap"), F.max("confidence").alias("confidence"))
+
+
+def subjects(who: DataFrame, keys: DataFrame, lead: DataFrame, titles: DataFrame, **learning: float) -> tuple[DataFrame, DataFrame]:
+    """Queries and documents (id, person, names) of people (id, person) and title keys (id, key) of both sides.
+
+    Phrases are counted and links learnt over all rows; phrases without a link are no terms.
     """
-    docs = documents.select("id", "person", "factor", "outcome").dropna().distinct()
-    asked = cut(queries.select("id", "person", "factor", "outcome").dropna().distinct())
-    total = docs.select("id").distinct().count()
-    posted = docs.select("id", F.inline(F.array(*[F.struct(F.lit(s).alias("terms"), _key(s).alias("key")) for s in _SETS]))).distinct()
-    postings = cut(posted.groupBy("terms", "key").agg(F.count("*").alias("n")))
-    idf = lambda n: F.log(1 + (F.lit(float(total)) - n + 0.5) / (n + 0.5))
-    weights = [postings.filter(F.col("terms") == t).select(F.expr("substr(key, 3)").alias(_TERMS[t]), idf(F.col("n")).alias(f"w_{t}")) for t in ("p", "f", "o")]
-    # what a query shares with each set of terms, the weights of its terms beside
-    person = asked.select("id", F.col("person").cast("string").alias("person"), "factor", "outcome")
-    for w, name in zip(weights, ("person", "factor", "outcome")):
-        person = person.join(w, name, "left")
-    score = {s: sum(F.coalesce(f"w_{t}", F.lit(0.0)) for t in s) for s in _SETS}
-    looked = person.select("id", F.inline(F.array(*[F.struct(F.lit(s).alias("terms"), _key(s).alias("key"), score[s].alias("score")) for s in _SETS]))).distinct()
-    reached = looked.join(postings, ["terms", "key"])
-    ranked = reached.groupBy("id").agg(
-        F.max(F.struct(F.length("terms").alias("size"), "score", "terms", "n")).alias("top"), F.collect_list(F.struct("score", "terms", "n")).alias("all")
-    )
-    # a query has at most seven sets per person; a set within the top one counts if it holds more documents than the top one does
-    inside = lambda x: F.forall(F.split(x["terms"], ""), lambda t: F.col("top.terms").contains(t))
-    runner = F.array_max(F.transform(F.filter("all", lambda x: F.when(inside(x), x["n"] > F.col("top.n")).otherwise(F.lit(True)) & (x["terms"] != F.col("top.terms"))), lambda x: x["score"]))
-    ranked = cut(ranked.select("id", F.col("top.score").alias("best"), F.col("top.terms").alias("terms"), (F.col("top.score") - F.coalesce(runner, F.lit(0.0))).alias("gap")))
-    share = max(1, math.ceil(ranked.count() / calibration_rows))
-    sample = ranked.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("gap", (F.col("terms") == "pfo").cast("int").alias("y")).collect()
-    intercept, slope = fit_logistic(np.array([r["gap"] for r in sample], float), np.array([r["y"] for r in sample], float))
-    full = person.select("id", "person", "factor", "outcome", score["pfo"].alias("score"))
-    pairs = full.join(docs.select(F.col("id").alias("document"), F.col("person").cast("string").alias("person"), "factor", "outcome"), ["person", "factor", "outcome"])
-    # a document that shares all three terms is nearer than any that shares fewer, for either side: such pairs are mutual nearest
-    best = pairs.groupBy("id", "document").agg(F.max("score").alias("score")).join(ranked.filter("terms = 'pfo'"), "id")
-    return best.select(
-        F.col("id").alias("query"), "document", "score", "gap", (1 / (1 + F.exp(-(F.lit(intercept) + F.lit(slope) * F.col("gap"))))).alias("confidence")
-    )
+    phrases = cut(title_phrases(keys.select("key").unionByName(titles.select("key"))))
+    asked = who.join(keys, "id").select("person", "key").distinct().join(phrases, "key")
+    held = lead.join(titles, "id").select("person", "key").distinct().join(phrases, "key")
+    links = learn_links(asked, held, **learning)
+    read = phrases.join(links.select(F.col("c").alias("phrase"), "d"), "phrase").groupBy("key").agg(F.sort_array(F.collect_set("d")).alias("names"))
+    kept = phrases.join(links.select(F.col("d").alias("phrase")).distinct(), "phrase").groupBy("key").agg(F.sort_array(F.collect_set("phrase")).alias("names"))
+    return who.join(keys.join(read, "key"), "id").select("id", "person", "names"), lead.join(titles.join(kept, "key"), "id").select("id", "person", "names")
 
 
-def topic_queries(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Repository rows and applications as (id, person, factor, outcome), people as entities of the name linkage."""
+def subject_queries(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Repository rows and applications as (id, person, names), people as entities of the name linkage."""
     people = cut(link_names(typed_names(spark, folder).filter("kind = 'person'")).select(F.col("name").alias("typed"), F.col("entity").alias("person")))
     clean = lambda c: F.regexp_replace(c, r"(?U)^\s+|(?<!\s)\s+$", "")
-    repos = table(spark, folder, "ukb_dmca_repositories")
+    repos, apps = table(spark, folder, "ukb_dmca_repositories"), table(spark, folder, "application_level_leakage")
+    lead = cut(apps.select(F.col("application_id").alias("id"), clean("application_pi").alias("typed")).join(people, "typed").select("id", "person").distinct())
     named = F.array_compact(F.concat(F.coalesce(F.split("paper_authors", r"[;|]"), F.array().cast("array<string>")), F.array("repo_owner_public_name")))
     who = repos.filter("paper_title is not null").select(F.col("repo_row_id").alias("id"), F.explode(F.array_distinct(F.transform(named, clean))).alias("typed"))
-    apps = table(spark, folder, "application_level_leakage")
-    lead = apps.select(F.col("application_id").alias("id"), clean("application_pi").alias("typed"))
-    queries = who.join(people, "typed").select("id", "person").distinct().join(with_topic(repos, "repo_row_id", "paper_title").distinct(), "id")
-    documents = lead.join(people, "typed").select("id", "person").distinct().join(with_topic(apps, "application_id", "application_title").distinct(), "id")
-    return queries, documents
+    # only a lead can be matched: other people have no posting
+    leads = people.join(lead.select("person").distinct(), "person", "left_semi")
+    who = cut(who.join(leads, "typed").select("id", "person").distinct())
+    return subjects(who, cut(title_keys(repos, "repo_row_id", "paper_title")), lead, cut(title_keys(apps, "application_id", "application_title")))
 
 
 def p5_matches(spark: SparkSession, folder: str) -> DataFrame:
     """The matches with score, gap to the next best and confidence."""
-    matches = match_by_topic_and_people(*topic_queries(spark, folder))
+    matches = match_subject_and_people(*subject_queries(spark, folder))
     return matches.select(F.col("query").alias("repo_row_id"), F.col("document").alias("application_id"), "score", "gap", "confidence")
 
 
