@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from strandwork.llm.residue import ResidueIndex, detect_residue, exemplars, without_residue
+from strandwork.llm.residue import ResidueIndex, detect_residue, exemplars, stem, without_residue
 
 LEAD = "The plan covers three work packages on sleep duration, asthma and stroke. "
 RESIDUE = [
@@ -22,6 +22,68 @@ NONE = [
     "We wrote the front end in JavaScript; the charts need scripts, but the tables are plain text and can be read without them.", "Our server returned error 503 twice during the survey.", "Values coded XXX in the source file stand for a withdrawn consent.", "Title\n____\n\nBody", "a[1] and <b>x</b> and #tag and 5% of 10%", "", "   ", None,
 ]
 
+# hand-written; none of them is an exemplar, and the second lot only speaks of such things
+UNSEEN = """This service is currently unavailable; please contact the administrator.
+Error 410: the resource has been permanently removed.
+Sorry, we could not find the page you were looking for.
+The page you were trying to reach is no longer available.
+You must enable cookies in your browser to continue.
+JavaScript is required to view this site. Please turn it on and reload.
+It looks like JavaScript is switched off in your browser.
+Please wait while we check your browser.
+Please verify that you are human before you continue.
+Your request could not be completed because of a server error.
+Our server is down for scheduled maintenance. Please try again later.
+You have made too many requests. Please try again in a few minutes.
+You do not have permission to access this project.
+This account has been disabled.
+This repository is no longer available.
+The connection to the server timed out.
+Gateway timeout: the server did not respond in time.
+An error occurred while loading this page. Please reload the page.
+Your session timed out. Please log in again.
+You need to sign in before you can view this project.
+Please insert your abstract here.
+Replace this sample text with your own summary.
+Enter a short summary of your project here.
+Your description goes here.
+This is placeholder text, please replace it.
+This page is still under construction, please check back soon.
+sed do eiusmod tempor incididunt ut labore et dolore magna aliqua
+Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris
+Dear [Recipient], thank you.
+Signed by {{ signatory_title }} on the day.""".splitlines()
+SPEAKS = """The server returned an error in two of the forty runs, which we repeated.
+Participants who did not enable cookies could not take the online test.
+We counted how often a page was not found during the crawl.
+Access to the data was denied to three applicants in 2019.
+The site was down for maintenance on the day of the second wave.
+Loading of the second factor was low in women.
+The placeholder group received tablets without the active substance.
+Filler text such as lorem ipsum was removed before coding.
+Scripts for the analysis are available on request.
+Our web form asks for JavaScript, but a paper version was sent to those without it.
+The session expired for nine participants, who were invited again.
+We tried again later with a smaller learning rate.
+Too many requests for samples were received in the first year.
+Some repositories have been disabled since the first notice.
+The browser history was not available to the study team.
+The captcha was solved by all but two participants.
+Please note that the sample was small and the results are to be confirmed.
+Time-outs at the gateway were logged as missing values.
+The requested samples could not be found in the freezer.
+A description of the project is given in the protocol.
+The template has a field for the name of the applicant.
+The database could not be reached from outside the hospital.
+Each participant had to sign in at the reception of the clinic.
+Enter the ward only with a mask, as the sign on the door says.
+The puzzle task shows how well a person plans.
+Details of the maintenance of the scanner are given below.
+Unauthorised use of the data is a breach of the agreement.
+The test text had eight hundred words and two tables.
+We were sorry to find that something went wrong with the third batch.
+Error bars show the standard error of the mean over 10 runs.""".splitlines()
+
 
 @pytest.fixture(scope="module")
 def index():
@@ -47,6 +109,42 @@ def test_texts_that_speak_of_it(index, text):
     assert text is None or index.judge(LEAD + text) is None
 
 
+def test_unseen_notices_and_texts_that_speak_of_them(index):
+    known = {e.text for e in exemplars()}
+    assert len(UNSEEN) == len(SPEAKS) == 30 and not known & {*UNSEEN}
+    assert sum(index.judge(f"{LEAD}{t} {LEAD}") is not None for t in UNSEEN) >= 28
+    assert sum(index.judge(f"{LEAD}{t} {LEAD}") is not None for t in SPEAKS) <= 3
+
+
+COMMON_HERE = {stem(w) for w in "error page server access site request project content text data time please first test browser start order show may take reach long".split()}
+
+
+def test_each_exemplar_is_found_by_the_others(index):
+    """Those of a few words can only be found as they are; of the others nine in ten are."""
+    known = exemplars()
+    asked = [x for x in known if x.kind != "slot" and len(set(x.terms)) > 3]
+    often = "the of and a to in is this for be not you your it on or that we are was by from with has have an as at our can no will more".split()
+    frequency = {t: 5000 if t in often else 300 if t in COMMON_HERE else 5 for x in known for t in x.terms} | dict.fromkeys(often, 5000)
+    found = [ResidueIndex([y for y in known if y is not x], frequency, 10_000).judge(x.text) for x in asked]
+    assert sum(f is not None for f in found) >= 0.9 * len(asked)
+    assert any(f[2] < 0.999 for f in found if f)
+
+
+def test_slots_are_judged_by_their_delimiters_and_names():
+    known = exemplars()
+    rare, usual = (ResidueIndex(known, {"\x00[]": n, "in": 5_000, "and": 5_000}, 10_000) for n in (3, 2_000))
+    assert rare.judge("Held by [your institution] and") and usual.judge("Held by [your institution] and")
+    assert rare.judge("Seen in [brackets galore shown] and") is None and usual.judge("As in [12] and [brackets]") is None
+
+
+def test_no_bounds(index):
+    far = "x" * 5000
+    assert index.judge(f"<code>{far} {{{{ title }}}}</code> ok") is None and index.judge(f"`{far} {{{{ title }}}}` ok") is None
+    assert index.judge(f'<img src="{far}"> Please enable JavaScript to view this page.')
+    assert index.judge(f"<script>{far * 6} Please enable JavaScript to view this page.</script> ok") is None
+    assert index.judge("Dear {{ " + "name " * 40 + "}},")
+
+
 def test_long_odd_texts_take_no_longer_than_long_plain_ones(index):
     began = time.perf_counter()
     for part in ("<code>", "$\\\\a ", "f\"", "{{ a", "(a b ", "[AB ", "`", "<script>", "&lt;a ", "____ ", "lorem ", "## | ", "'r "):
