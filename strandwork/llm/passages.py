@@ -16,13 +16,15 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandwork.session import cut
 from strandwork.sources.tables import table
 
 _INVISIBLE = re.compile("[­​-‏  ‪-‮⁠﻿]")
-_TAG = re.compile(r"</?[A-Za-z!][^<>]{0,300}>")
+_TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _HYPHEN = re.compile(r"(?<=\w)[-‐‑][ \t]*[\r\n][\s>|*#]*(?=\w)")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -114,7 +116,7 @@ def leaked_passages(
     """(doc id, item id, words, same_words), a row per document row and item whose passage it holds.
 
     The items' tables go to every task while their words stay under ``max_words``, which is counted first; a larger set is cut
-    into blocks of items and the corpus is searched once per block, with the same result. The corpus is never shuffled, texts are
+    into blocks of items and the corpus is searched once per block, one block after the other, with the same result. The corpus is never shuffled, texts are
     searched whole, and null, empty and blank texts and items give no row. Repeated documents each give their rows.
     """
     items = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t")).filter("i is not null and t is not null")
@@ -123,7 +125,7 @@ def leaked_passages(
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("text is not null")
     schema = "doc_id bigint, item_id bigint, words int, same_words int"
 
-    def search(rows: list) -> DataFrame:
+    def search(rows: list) -> tuple[DataFrame, Broadcast]:
         tables = docs.sparkSession.sparkContext.broadcast([(r["i"], words(r["t"])) for r in rows])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,9 +139,15 @@ def leaked_passages(
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "words", "same_words"])
 
-        return source.mapInArrow(run, schema)
+        return source.mapInArrow(run, schema), tables
 
-    parts = [search(items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()) for b in range(blocks)]
+    if blocks == 1:
+        return search(items.collect())[0]
+    parts = []
+    for b in range(blocks):  # one block after another: neither the driver nor a task ever holds two
+        found, tables = search(items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect())
+        parts.append(cut(found))
+        tables.unpersist()
     return reduce(DataFrame.unionAll, parts)
 
 

@@ -16,6 +16,7 @@ def noise(n):
 def test_words():
     assert words("The <b>Big</b>, bro-\n> ken &amp; ﬁne soft­ly\n<p>end</p>") == ["the", "big", "broken", "fine", "softly", "end"]
     assert words(None) == words("") == words("  \n") == []
+    assert words(f'two <img src="{"x" * 5000}"> words') == ["two", "words"]  # a tag of any length
 
 
 def test_hits_as_brute_force():
