@@ -49,6 +49,21 @@ def test_inferred_rules(cells):
     assert "semicolon" in rules["n"].delimiters and "tab" not in rules["n"].delimiters
 
 
+def test_marks_within_values_are_rejected(spark):
+    """The scores decide: no beginning of a value stands between a comma in a name and a cut."""
+    names = ["Ames, Jo; Bell, Li", "Cole, Al", "Dunn, Bo; Eves, Cy; Ford, Di", "Gray, Ed", "Hale, Fi; Ives, Gus", "Jack, Hal"]
+    dois = ["10.5555/a-b.c_d;10.5555/e-f.g", "10.5555/h.i-j", "10.5555/k_l;10.5555/m-n"]
+    rows = [("names", n) for n in names] + [("dois", d) for d in dois]
+    df = spark.createDataFrame(rows, "source string, cell string")
+    rules = infer_rules(df, "source", "cell")
+    assert rules["names"].delimiters == rules["dois"].delimiters == ("semicolon",)
+    scores = dict(rules["names"].scores)
+    assert scores["semicolon"] == 1.0 and scores["comma"] == scores["space"] == 0.0
+    assert {"dot", "hyphen", "underscore"} <= {k for k, v in rules["dois"].scores if v < 0.05}
+    got = sorted(r["item_value"] for r in split_values(df.filter("source = 'names'"), "source", "cell").collect())
+    assert got == sorted(v for n in names for v in n.split("; "))
+
+
 def test_edges(spark, cells):
     assert split_values(cells.limit(0), "source", "cell").count() == 0
     clash = split_values(cells.withColumnsRenamed({"id": "pos"}).selectExpr("*", "'x' as item_value", "1 as __q"), "source", "cell")
