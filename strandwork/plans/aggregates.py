@@ -208,7 +208,7 @@ def top_institutions(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     """WITH f AS (SELECT o_custkey, min(o_orderdate) AS d FROM orders GROUP BY 1), c AS (SELECT date_trunc('quarter', d)::DATE AS quarter, c_acctbal < 0 AS hit FROM f JOIN customer ON c_custkey = o_custkey),
-    s AS (SELECT unnest(generate_series(DATE '1992-01-01', DATE '1998-10-01', INTERVAL 3 MONTH))::DATE AS quarter)
+    s AS (SELECT unnest(generate_series(least(DATE '1992-01-01', (SELECT min(date_trunc('quarter', o_orderdate))::DATE FROM orders)), greatest(DATE '1998-10-01', (SELECT max(date_trunc('quarter', o_orderdate))::DATE FROM orders)), INTERVAL 3 MONTH))::DATE AS quarter)
     SELECT s.quarter, count(hit) AS n, coalesce(sum(hit::INT), 0)::BIGINT AS events, round(sum(hit::INT) / nullif(count(hit), 0), 6) AS rate FROM s LEFT JOIN c USING (quarter) GROUP BY s.quarter"""
 )
 def cohort_rates(spark: SparkSession, folder: str) -> DataFrame:

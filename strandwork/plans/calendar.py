@@ -22,7 +22,7 @@ def _span(spark: SparkSession, folder: str, unit: str, start: str, end: str) ->
 
 def _series(name: str, unit: str, step: str, start: str, end: str, interval: str):
     sql = f"""WITH c AS (SELECT date_trunc('{unit}', o_orderdate)::DATE AS period, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderpriority = '5-LOW') AS low FROM orders GROUP BY 1)
-    SELECT s.period, coalesce(urgent, 0) AS urgent, coalesce(low, 0) AS low, coalesce(urgent, 0) - coalesce(low, 0) AS difference FROM (SELECT unnest(generate_series(DATE '{start}', DATE '{end}', INTERVAL {interval}))::DATE AS period) s LEFT JOIN c USING (period)"""
+    SELECT s.period, coalesce(urgent, 0) AS urgent, coalesce(low, 0) AS low, coalesce(urgent, 0) - coalesce(low, 0) AS difference FROM (SELECT unnest(generate_series(least(DATE '{start}', (SELECT min(period) FROM c)), greatest(DATE '{end}', (SELECT max(period) FROM c)), INTERVAL {interval}))::DATE AS period) s LEFT JOIN c USING (period)"""
 
     def query(spark: SparkSession, folder: str) -> DataFrame:
         period = F.trunc("o_orderdate", unit) if unit != "day" else F.to_date("o_orderdate")
@@ -82,7 +82,7 @@ def policy_window_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register(
-    """WITH s AS (SELECT o_custkey, min(o_orderdate)::DATE AS d FROM orders GROUP BY 1), m AS (SELECT unnest(generate_series(DATE '1992-01-01', DATE '1998-12-01', INTERVAL 1 MONTH))::DATE AS month)
+    """WITH s AS (SELECT o_custkey, min(o_orderdate)::DATE AS d FROM orders GROUP BY 1), m AS (SELECT unnest(generate_series(least(DATE '1992-01-01', (SELECT min(date_trunc('month', o_orderdate))::DATE FROM orders)), greatest(DATE '1998-12-01', (SELECT max(date_trunc('month', o_orderdate))::DATE FROM orders)), INTERVAL 1 MONTH))::DATE AS month)
     SELECT month, count(d) AS started FROM m LEFT JOIN s ON d <= last_day(month) GROUP BY month"""
 )
 def point_in_time_denominator(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,7 +92,7 @@ def point_in_time_denominator(spark: SparkSession, folder: str) -> DataFrame:
     return filled.select(F.col("period").alias("month"), F.sum("n").over(Window.orderBy("period")).alias("started"))
 
 
-_Q = "SELECT unnest(generate_series(DATE '1992-01-01', DATE '1998-10-01', INTERVAL 3 MONTH))::DATE AS period_start"
+_Q = "SELECT unnest(generate_series(least(DATE '1992-01-01', (SELECT min(date_trunc('quarter', o_orderdate))::DATE FROM orders)), greatest(DATE '1998-10-01', (SELECT max(date_trunc('quarter', o_orderdate))::DATE FROM orders)), INTERVAL 3 MONTH))::DATE AS period_start"
 _PANEL = f"""s AS (SELECT o_custkey, min(o_orderdate)::DATE AS start FROM orders GROUP BY 1), q AS (SELECT period_start, (period_start + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS period_end FROM ({_Q})),
 c AS (SELECT o_custkey, date_trunc('quarter', o_orderdate)::DATE AS period_start, count(*) AS n FROM orders GROUP BY 1, 2),
 panel AS (SELECT s.o_custkey, q.period_start, q.period_end, date_diff('day', greatest(q.period_start, s.start), q.period_end) + 1 AS at_risk_days, s.start > q.period_start AS first_partial, coalesce(c.n, 0) AS n, date_diff('month', date_trunc('quarter', s.start)::DATE, q.period_start) // 3 AS age
@@ -165,8 +165,8 @@ def _last_day(spark: SparkSession, folder: str) -> Column:
 
 
 @register(
-    f"""WITH {_NEXT}, h AS (SELECT unnest([6, 12, 24]) AS months) SELECT months, count(*) FILTER ((start + to_months(months))::DATE <= DATE '1998-08-02') AS eligible, count(*) FILTER ((start + to_months(months))::DATE <= DATE '1998-08-02' AND event <= (start + to_months(months))::DATE) AS inclusive,
-    count(*) FILTER ((start + to_months(months))::DATE <= DATE '1998-08-02' AND event < (start + to_months(months))::DATE) AS exclusive FROM e, h GROUP BY months"""
+    f"""WITH {_NEXT}, h AS (SELECT unnest([6, 12, 24]) AS months, (SELECT max(o_orderdate)::DATE FROM orders) AS last) SELECT months, count(*) FILTER ((start + to_months(months))::DATE <= greatest(DATE '1998-08-02', last)) AS eligible, count(*) FILTER ((start + to_months(months))::DATE <= greatest(DATE '1998-08-02', last) AND event <= (start + to_months(months))::DATE) AS inclusive,
+    count(*) FILTER ((start + to_months(months))::DATE <= greatest(DATE '1998-08-02', last) AND event < (start + to_months(months))::DATE) AS exclusive FROM e, h GROUP BY months"""
 )
 def fixed_followup(spark: SparkSession, folder: str) -> DataFrame:
     """Events within fixed horizons among entities whose horizon ends by the censoring day; the horizon's last day in and out."""
@@ -178,7 +178,7 @@ def fixed_followup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register(
-    f"""WITH {_NEXT}, d AS (SELECT date_diff('day', start, coalesce(event, DATE '1998-12-31')) AS t, (event IS NOT NULL)::INT AS d FROM e), c AS (SELECT t, sum(d)::BIGINT AS events, count(*) AS leaving FROM d GROUP BY t),
+    f"""WITH {_NEXT}, d AS (SELECT date_diff('day', start, coalesce(event, greatest(DATE '1998-12-31', (SELECT max(o_orderdate)::DATE FROM orders)))) AS t, (event IS NOT NULL)::INT AS d FROM e), c AS (SELECT t, sum(d)::BIGINT AS events, count(*) AS leaving FROM d GROUP BY t),
     r AS (SELECT t, events, sum(leaving) OVER (ORDER BY t DESC)::BIGINT AS at_risk FROM c)
     SELECT t, at_risk, events, round(exp(sum(CASE WHEN events < at_risk THEN ln(1 - events / at_risk) ELSE -700 END) OVER (ORDER BY t)), 8) AS survival,
     round(sum(CASE WHEN events < at_risk THEN events / (at_risk::DOUBLE * (at_risk - events)) ELSE 0 END) OVER (ORDER BY t), 10) AS greenwood FROM r"""
