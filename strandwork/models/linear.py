@@ -198,12 +198,17 @@ def ljung_box(e: np.ndarray, lags: int) -> tuple[float, float]:
     return q, chi2_tail(q, lags)
 
 
-def newton(df: DataFrame, y: str, xs: list[str], family: str, offset: str | None = None, weight: str | None = None, tol: float = 1e-9, rounds: int = 100, cluster: str | None = None) -> Fit:
+#: distinct designs up to which their sums are brought to the driver instead of making a pass for each step
+LOCAL_DESIGNS = 20_000
+
+
+def newton(df: DataFrame, y: str, xs: list[str], family: str, offset: str | None = None, weight: str | None = None, tol: float = 1e-9, rounds: int = 100) -> Fit:
     """Poisson (log link) or logit by Newton steps, each one aggregation over the cluster.
 
     Rows with equal designs are collapsed to their sums first (``weight`` counts them), which leaves the estimates as they
-    are and every later pass as small as the number of distinct designs. Linear predictors are kept within 30 of 0
-    (logit: 35). Errors are HC0 scores for Poisson, the information matrix for the logit.
+    are and every later pass as small as the number of distinct designs; up to ``LOCAL_DESIGNS`` of them are counted and then
+    summed on the driver, with the same result. Linear predictors are kept within 30 of 0 (logit: 35). Errors are HC0 scores
+    for Poisson, the information matrix for the logit. Raises if the steps don't settle in ``rounds``.
     """
     names = ["intercept", *xs]
     w = F.col(weight) if weight else F.lit(1.0)
@@ -211,70 +216,145 @@ def newton(df: DataFrame, y: str, xs: list[str], family: str, offset: str | None
     keys = [F.col(x).cast("double").alias(x) for x in xs]
     rows = df.select(*keys, off.alias("__o"), F.col(y).cast("double").alias("__y"), w.cast("double").alias("__w")).dropna()
     data = cut(rows.groupBy(*xs, "__o").agg(F.sum("__w").alias("__n"), F.sum(F.col("__y") * F.col("__w")).alias("__s"), F.sum(F.col("__y") * F.col("__y") * F.col("__w")).alias("__ss")).withColumn("intercept", F.lit(1.0)))
-    n, total, exposure = data.agg(F.sum("__n"), F.sum("__s"), F.sum(F.col("__n") * F.exp("__o"))).first()
+    n, total, exposure, designs = data.agg(F.sum("__n"), F.sum("__s"), F.sum(F.col("__n") * F.exp("__o")), F.count("*")).first()
     if not n:
         raise ValueError("no complete rows")
     if total <= 0 or (family == "logit" and total >= n):
         raise ValueError("the outcome does not vary")
-    limit = 30 if family == "poisson" else 35
-    beta = np.zeros(len(names))
-    beta[0] = math.log(total / exposure) if family == "poisson" else math.log(total / (n - total))
+    limit = 30.0 if family == "poisson" else 35.0
     k = len(names)
-    for _ in range(rounds):
-        eta = F.greatest(F.lit(-float(limit)), F.least(F.lit(float(limit)), _linear(names, beta) + F.col("__o")))
+    local = data.select(*names, "__o", "__n", "__s", "__ss").toPandas().to_numpy(float) if designs <= LOCAL_DESIGNS else None
+
+    def sums(beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Information, score, squared residuals by design, and the Pearson sum at ``beta``."""
+        if local is not None:
+            x, (o, c, s, ss) = local[:, :k], local[:, k:].T
+            eta = np.clip(x @ beta + o, -limit, limit)
+            mu = np.exp(eta) if family == "poisson" else 1 / (1 + np.exp(-eta))
+            curve = c * (mu if family == "poisson" else np.maximum(mu * (1 - mu), 1e-10))
+            squared = ss - 2 * mu * s + c * mu**2
+            return (x * curve[:, None]).T @ x, x.T @ (s - c * mu), (x * squared[:, None]).T @ x, float((squared / mu).sum())
+        eta = F.greatest(F.lit(-limit), F.least(F.lit(limit), _linear(names, beta) + F.col("__o")))
         mu = F.exp(eta) if family == "poisson" else 1 / (1 + F.exp(-eta))
-        step_data = data.withColumn("__mu", mu)
         curve = F.col("__n") * (F.col("__mu") if family == "poisson" else F.greatest(F.col("__mu") * (1 - F.col("__mu")), F.lit(1e-10)))
-        step_data = step_data.withColumn("__c", curve)
-        info, _ = moments(step_data, names, "__c")
-        score = step_data.agg(*[F.sum(F.col(c) * (F.col("__s") - F.col("__n") * F.col("__mu"))) for c in names]).first()
-        step = np.linalg.solve(info + 1e-12 * np.eye(k), np.array(score, float))
+        squared = F.col("__ss") - 2 * F.col("__mu") * F.col("__s") + F.col("__n") * F.col("__mu") ** 2
+        # residuals and squared ones over the curve, so that one weighted pass adds up everything; each x times the root of its share
+        step = data.withColumn("__mu", mu).withColumn("__c", curve).withColumn("__r", (F.col("__s") - F.col("__n") * F.col("__mu")) / F.col("__c")).withColumn("__q", squared)
+        step = step.withColumns({f"__h{i}": F.col(c) * F.sqrt(F.greatest(F.lit(0.0), F.col("__q") / F.col("__c"))) for i, c in enumerate(names)}).withColumn("__p", F.sqrt(F.greatest(F.lit(0.0), F.col("__q") / F.col("__mu") / F.col("__c"))))
+        cross, _ = moments(step, [*names, "__r", *[f"__h{i}" for i in range(k)], "__p"], "__c")
+        return cross[:k, :k], cross[:k, k], cross[k + 1 : 2 * k + 1, k + 1 : 2 * k + 1], float(cross[-1, -1])
+
+    beta = np.zeros(k)
+    beta[0] = math.log(total / exposure) if family == "poisson" else math.log(total / (n - total))
+    for _ in range(rounds):
+        info, score, meat, pearson = sums(beta)
+        step = np.linalg.solve(info + 1e-12 * np.eye(k), score)
         beta = beta + step
         if np.abs(step).max() < tol:
             break
+    else:
+        raise RuntimeError(f"the steps don't settle in {rounds} rounds")
     bread = invert(info)
-    cov = bread
-    extra = {}
-    if family == "poisson":
-        # sum of squared residuals of a design: ss - 2 mu s + n mu^2
-        squared = step_data.withColumn("__q", F.col("__ss") - 2 * F.col("__mu") * F.col("__s") + F.col("__n") * F.col("__mu") ** 2)
-        meat, _ = moments(squared, names, "__q")
-        cov = bread @ meat @ bread
-        extra["dispersion"] = float(squared.agg(F.sum(F.col("__q") / F.col("__mu"))).first()[0] / max(1, n - k))
-    return Fit(names, beta, cov, int(n), extra)
+    if family == "logit":
+        return Fit(names, beta, bread, int(n))
+    return Fit(names, beta, bread @ meat @ bread, int(n), {"dispersion": pearson / max(1, n - k)})
 
 
-def within(df: DataFrame, columns: list[str], effects: list[str], sweeps: int = 12, tol: float = 1e-8) -> DataFrame:
-    """``columns`` with the means of each of ``effects`` taken out, by alternating sweeps until they change by less than ``tol``.
+def within(df: DataFrame, columns: list[str], effects: list[str], sweeps: int = 200, tol: float = 1e-8) -> DataFrame:
+    """``columns`` with the means of each of ``effects`` taken out, by alternating sweeps until they change by less than ``tol`` of the columns' spread.
 
-    Group means are aggregated and joined back; each sweep is checkpointed. Two passes of two-way data that are balanced end it.
+    Group means are aggregated and joined back. Raises if they haven't settled after ``sweeps``.
     """
     data = cut(df)
+    spread = [v or 1.0 for v in data.agg(*[F.stddev_pop(c) for c in columns]).first()]
     for _ in range(sweeps):
         change = 0.0
         for e in effects:
             means = cut(data.groupBy(e).agg(*[F.avg(c).alias(f"__{c}") for c in columns]))
             joined = data.join(means, e)
             top = means.agg(*[F.max(F.abs(f"__{c}")) for c in columns]).first()
-            change = max([change, *[abs(v) for v in top if v is not None]])
+            change = max([change, *[abs(v) / s for v, s in zip(top, spread) if v is not None]])
             data = joined.select(*[c for c in data.columns if c not in columns], *[(F.col(c) - F.col(f"__{c}")).alias(c) for c in columns])
         data = cut(data)
         if change < tol:
-            break
-    return data
+            return data
+    raise RuntimeError(f"the means still change after {sweeps} sweeps")
 
 
-def fixed_effects(df: DataFrame, y: str, xs: list[str], effects: list[str], cluster: str) -> Fit:
-    """Within estimator with CR1 errors."""
-    used = df.select(*{*effects, cluster}, *[F.col(c).cast("double").alias(c) for c in (y, *xs)]).dropna()
-    data = within(used, [y, *xs], effects)
-    cross, n = moments(data, [*xs, y])
-    k = len(xs)
-    bread = invert(cross[:k, :k])
-    beta = bread @ cross[:k, k]
-    scores = data.withColumn("__e", F.col(y) - _linear(xs, beta)).groupBy(cluster).agg(*[F.sum(F.col(c) * F.col("__e")).alias(c) for c in xs])
-    meat, g = moments(scores, xs)
-    return Fit(list(xs), beta, bread @ meat @ bread * (g / (g - 1)) * ((n - 1) / (n - k)), n, {"clusters": g})
+def fixed_effects(df: DataFrame, y: str, xs: list[str], effects: list[str], cluster: str, max_levels: int = 200) -> Fit:
+    """Within estimator of one or more effects with CR1 errors, exact: no sweeps where all effects but one have up to ``max_levels`` levels.
+
+    The effect of many levels is taken out in one aggregation, whose groups also count the levels of the others; these are then
+    dummies in the normal equations. More levels in more than one effect are taken out by sweeps (``within``). Rows with nulls are left out.
+    """
+    data = cut(df.select(*dict.fromkeys([*effects, cluster]), *[F.col(c).cast("double").alias(c) for c in (y, *xs)]).dropna())
+    sizes = {e: data.select(e).distinct().limit(max_levels + 1).collect() for e in effects}
+    small = [e for e in effects if len(sizes[e]) <= max_levels]
+    large = [e for e in effects if e not in small] or small[:1]
+    small = [e for e in small if e not in large]
+    if len(large) > 1:
+        swept = within(data, [y, *xs], effects)
+        cross, n = moments(swept, [*xs, y])
+        bread = invert(cross[:-1, :-1])
+        beta = bread @ cross[:-1, -1]
+        scores = swept.withColumn("__e", F.col(y) - _linear(xs, beta)).groupBy(cluster).agg(*[F.sum(F.col(c) * F.col("__e")).alias(c) for c in xs])
+        return _cr1(list(xs), beta, bread, scores, n)
+    one = large[0]
+    levels = [(e, r[0]) for e in small for r in sorted(sizes[e])[1:]]
+    dummies = [(F.col(e) == F.lit(v)).cast("double") for e, v in levels]
+    values = [F.col(c) for c in (*xs, y)]
+    k, m = len(xs), len(values)
+    sums = data.groupBy(one).agg(F.count("*").cast("double").alias("__n"), *[F.sum(v).alias(f"v{i}") for i, v in enumerate([*values, *dummies])])
+    names = [f"v{i}" for i in range(m + len(dummies))]
+    # cross products about the groups' means: those of the rows less those of the sums, a group's divided by its size
+    between, _ = moments(sums.withColumn("__w", 1 / F.col("__n")), names, "__w")
+    direct, n = moments(data, [*xs, y])
+    total = np.zeros_like(between)
+    total[:m, :m] = direct
+    if levels:
+        by_level = {}
+        for e in small:
+            by_level |= {(e, r[0]): r[1:] for r in data.groupBy(e).agg(*[F.sum(v) for v in values], F.count("*")).collect()}
+        for j, level in enumerate(levels):
+            *crossed, count = by_level[level]
+            total[m + j, :m] = total[:m, m + j] = crossed
+            total[m + j, m + j] = count
+        for (e, f) in [(e, f) for i, e in enumerate(small) for f in small[i + 1 :]]:
+            at = {level: m + j for j, level in enumerate(levels)}
+            for r in data.groupBy(e, f).count().collect():  # the product of two small effects
+                if (e, r[0]) in at and (f, r[1]) in at:
+                    i, j = at[e, r[0]], at[f, r[1]]
+                    total[i, j] = total[j, i] = r[2]
+    centred = total - between
+    # the dummies are partialled out of the regressors and the outcome
+    d = centred[m:, m:]
+    part = np.linalg.pinv(d, hermitian=True) @ centred[m:, :m] if levels else np.zeros((0, m))
+    left = centred[:m, :m] - centred[:m, m:] @ part
+    bread = invert(left[:k, :k])
+    beta = bread @ left[:k, k]
+
+    def cleared(i: int) -> Column:
+        """A value less what the small effects explain of it, before the mean of the large one's group goes."""
+        out = values[i]
+        for e in small:
+            at = [(v, float(part[j, i])) for j, (f, v) in enumerate(levels) if f == e]
+            out = out - F.coalesce(F.create_map(*[F.lit(x) for p in at for x in p])[F.col(e)], F.lit(0.0)) if at else out
+        return out
+
+    kept = data.select(*dict.fromkeys([one, cluster]), *[cleared(i).alias(f"u{i}") for i in range(m)]).withColumn("__e", F.col(f"u{k}") - sum(float(b) * F.col(f"u{i}") for i, b in enumerate(beta)))
+    if cluster == one:
+        scores = kept.groupBy(one).agg(*[(F.sum(F.col(f"u{i}") * F.col("__e")) - F.sum(f"u{i}") * F.sum("__e") / F.count("*")).alias(c) for i, c in enumerate(xs)])
+    else:
+        means = kept.groupBy(one).agg(F.avg("__e").alias("__me"), *[F.avg(f"u{i}").alias(f"m{i}") for i in range(k)])
+        scores = kept.join(means, one).groupBy(cluster).agg(*[F.sum((F.col(f"u{i}") - F.col(f"m{i}")) * (F.col("__e") - F.col("__me"))).alias(c) for i, c in enumerate(xs)])
+    return _cr1(list(xs), beta, bread, scores, n)
+
+
+def _cr1(names: list[str], beta: np.ndarray, bread: np.ndarray, scores: DataFrame, n: int) -> Fit:
+    """Clustered errors of ``scores``, a row per cluster."""
+    meat, g = moments(scores, names)
+    k = len(names)
+    return Fit(names, beta, bread @ meat @ bread * (g / (g - 1)) * ((n - 1) / (n - k)), n, {"clusters": g})
 
 
 def cluster_bootstrap(df: DataFrame, cluster: str, statistic: Callable[[DataFrame], list[Column]], replicates: int = 120, seed: int = 20240901) -> DataFrame:
@@ -319,6 +399,8 @@ def poisson_series(x: np.ndarray, y: np.ndarray, names: list[str], lag: int, off
         beta = beta + step
         if np.abs(step).max() < tol:
             break
+    else:
+        raise RuntimeError(f"the steps don't settle in {rounds} rounds")
     mu = np.exp(np.clip(x @ beta + off, -30, 30))
     bread = invert((x * mu[:, None]).T @ x)
     cov = bread @ bartlett(x * (y - mu)[:, None], lag) @ bread

@@ -47,6 +47,35 @@ def test_fixed_effects_as_dummies(panel):
     assert np.allclose(fit.beta, beta[:2], atol=1e-6) and fit.extra["clusters"] == 40
 
 
+def test_fixed_effects_by_sweeps_and_other_clusters(panel):
+    frame, df = panel
+    odd = df.filter("(g + t) % 5 != 0")  # unbalanced
+    for cluster in ("g", "t", "b"):
+        exact = L.fixed_effects(odd, "y", ["x", "d"], ["g", "t"], cluster)
+        swept = L.fixed_effects(odd, "y", ["x", "d"], ["g", "t"], cluster, max_levels=1)
+        assert np.allclose(exact.beta, swept.beta, atol=1e-8) and np.allclose(exact.cov, swept.cov, rtol=1e-5)
+    three = odd.selectExpr("*", "g % 7 * t % 3 as h")
+    f = three.toPandas()
+    dummies = np.column_stack([f.x, f.d, *[pd.get_dummies(f[e]).to_numpy(float) for e in ("g", "t", "h")]])
+    beta = np.linalg.lstsq(dummies, f.y.to_numpy(), rcond=None)[0]
+    assert np.allclose(L.fixed_effects(three, "y", ["x", "d"], ["g", "t", "h"], "g").beta, beta[:2], atol=1e-8)
+    with pytest.raises(RuntimeError):
+        L.within(odd, ["y"], ["g", "t"], sweeps=1)
+
+
+def test_newton_on_the_cluster_as_on_the_driver(panel, monkeypatch):
+    frame, df = panel
+    for family, y in (("poisson", "n"), ("logit", "b")):
+        here = L.newton(df, y, ["x", "d"], family)
+        monkeypatch.setattr(L, "LOCAL_DESIGNS", 0)
+        there = L.newton(df, y, ["x", "d"], family)
+        monkeypatch.undo()
+        assert np.allclose(here.beta, there.beta, atol=1e-9) and np.allclose(here.cov, there.cov, rtol=1e-7)
+        assert math.isclose(here.extra.get("dispersion", 1), there.extra.get("dispersion", 1), rel_tol=1e-7)
+        with pytest.raises(RuntimeError):
+            L.newton(df, y, ["x", "d"], family, rounds=1)
+
+
 def test_newton_models(panel):
     frame, df = panel
     for family, y, xs in (("poisson", "n", ["d"]), ("logit", "b", ["x"])):
