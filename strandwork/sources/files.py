@@ -11,25 +11,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandwork.session import cut
+
 
 def sniff_separator(sample: str) -> str:
-    """Tab if the first line has as many tabs as commas or more, else comma or semicolon, whichever is more frequent."""
-    line = sample.split("\n", 1)[0]
-    if line.count("\t") and line.count("\t") >= line.count(","):
-        return "\t"
-    return ";" if line.count(";") > line.count(",") else ","
+    """The separator that the whole lines of the first 4,096 characters hold most evenly, then most often; a comma if there is none."""
+    lines = [x for x in sample[:4096].split("\n") if x.strip()]
+    if len(sample) > 4096 and len(lines) > 1:
+        lines = lines[:-1]  # the last one is cut
+    counts = {sep: [x.count(sep) for x in lines] for sep in "\t,;|"}
+    found = {sep: n for sep, n in counts.items() if n and n[0]}
+    return max(found, key=lambda sep: (sum(k == found[sep][0] for k in found[sep]), found[sep][0], sep == "\t"), default=",")
 
 
-def scan_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8", required: tuple[str, ...] = ()) -> DataFrame:
+def scan_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8", required: tuple[str, ...] = (), multiline: bool = True, header: tuple[str, ...] | None = None) -> DataFrame:
     """A delimited file with a header; every column is text, blanks stay blanks and bad bytes become U+FFFD.
 
-    Quoted fields may hold line breaks. Without ``sep`` the first line decides. Missing ``required`` columns raise, a missing file gives the
-    error of the reader.
+    Quoted fields may hold line breaks, for which a file is read by one task; without them ``multiline=False`` splits large files.
+    ``header`` names the columns of files without one. Without ``sep`` the first lines decide. Missing ``required`` columns
+    raise, a missing file gives the error of the reader.
     """
     if sep is None:
-        first = spark.read.option("encoding", encoding).text(path).limit(1).collect()
-        sep = sniff_separator(first[0][0] if first else "")
-    df = spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=True, escape='"', inferSchema=False, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        first = spark.read.option("encoding", encoding).text(path).limit(50).collect()
+        sep = sniff_separator("\n".join(r[0] for r in first))
+    reader = spark.read if header is None else spark.read.schema(", ".join(f"`{c}` string" for c in header))
+    df = reader.csv(path, header=header is None, sep=sep, encoding=encoding, multiLine=multiline, escape='"', inferSchema=False, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     df = df.withColumnsRenamed({c: c.lstrip("\ufeff") for c in df.columns if c.startswith("\ufeff")})
     df = df.select(*[F.coalesce(f"`{c}`", F.lit("")).alias(c) for c in df.columns])
     missing = [c for c in required if c not in df.columns]
@@ -42,33 +48,24 @@ def scan_multiline_records(spark: SparkSession, path: str, columns: list[str], e
     """Tab-separated records whose last field runs over unquoted line breaks: a line that begins with digits and a tab opens a record.
 
     Lines before the first record are dropped but for the header. Records that lack fields are padded with blanks; white
-    space in the last field becomes one blank, as line breaks do. Each file is read as a whole by one task, files in parallel.
+    space in the last field becomes one blank, as line breaks do. Files are split as any text: the lines of a split count its records, the
+    splits before it (one row each) say with which record it begins, and only the lines of one record come together.
     """
+    lines = spark.read.option("encoding", encoding).text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("line"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    marked = cut(lines.withColumn("opens", F.col("line").rlike(r"^\d+\t").cast("int")))
+    splits = marked.groupBy("f", "b").agg(F.sum("opens").alias("s"))
+    before = F.coalesce(F.sum("s").over(Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum("opens").over(Window.partitionBy("f", "b").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = marked.withColumn("n", inside).join(splits.select("f", "b", before.alias("before")), ["f", "b"]).withColumn("record", F.col("before") + F.col("n")).filter("record > 0")
+    whole = numbered.repartitionByRange("f", "record").groupBy("f", "record").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "i", "line"))), lambda x: x["line"]), "\n").alias("text")).sortWithinPartitions("f", "record")
+    parts = F.split("text", "\t", len(columns))
+    return whole.select(*[F.coalesce(F.get(parts, F.lit(k)), F.lit("")).alias(c) if k < len(columns) - 1 else F.trim(F.regexp_replace(F.coalesce(F.get(parts, F.lit(k)), F.lit("")), r"(?U)\s+", " ")).alias(c) for k, c in enumerate(columns)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for content in batch.column(0).to_pylist():
-                open_: list[str] | None = None
-                for line in io.StringIO(content.decode(encoding, "replace").lstrip("\ufeff"), newline=None):
-                    line = line.rstrip("\n")
-                    head = line.split("\t", 1)[0]
-                    if head.isdigit() and "\t" in line:
-                        if open_:
-                            rows.append(open_)
-                        open_ = line.split("\t", len(columns) - 1)
-                    elif open_ is not None:
-                        open_ += [""] * (len(columns) - len(open_))
-                        open_[-1] += "\n" + line
-                if open_:
-                    rows.append(open_)
-            full = [[*r, *[""] * (len(columns) - len(r))] for r in rows]
-            full = [[*r[:-1], " ".join(r[-1].split())] for r in full]
-            data = list(zip(*full)) or [[] for _ in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in data], names=columns)
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, ", ".join(f"`{c}` string" for c in columns))
+
+def field_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """(position, field, type, nullable) of the columns of a table's files; only their footers are read."""
+    fields = spark.read.parquet(path).schema.fields
+    return spark.createDataFrame([(n, f.name, f.dataType.simpleString(), f.nullable) for n, f in enumerate(fields, 1)], "position int, field string, type string, nullable boolean")
 
 
 def scan_packed(spark: SparkSession, path: str) -> DataFrame:
@@ -116,9 +113,9 @@ def html_rows(pages: DataFrame, html: str, heading: str = r"<h2>[^<]*Application
     return found.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
 
 
-def scan_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON documents, one a file or one a line, with a given schema; what doesn't parse gives nulls."""
-    return spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
+def scan_json(spark: SparkSession, path: str, schema: str, multiline: bool = True) -> DataFrame:
+    """JSON documents, one a file or (``multiline=False``, split over tasks) one a line, with a given schema; what doesn't parse gives nulls."""
+    return spark.read.schema(schema).option("multiLine", str(multiline).lower()).option("mode", "PERMISSIVE").json(path)
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -19,7 +19,7 @@ def write_delimited(df: DataFrame, path: str, columns: list[str] | None = None,
     kinds = dict(df.dtypes)
     blank = lambda c: F.when(~F.isnan(c), F.col(c)) if kinds[c] in ("double", "float") else F.col(c)
     out = df.select(*[F.coalesce(blank(c).cast("string"), F.lit("")).alias(c) if c in kinds else F.lit("").alias(c) for c in columns])
-    (out.coalesce(files) if files else out).write.mode(mode).csv(path, header=True, emptyValue="", escape='"')
+    (out.coalesce(files) if files else out).write.mode(mode).csv(path, header=True, emptyValue="", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -32,15 +32,31 @@ def write_per_entity(df: DataFrame, key: str, text: str, path: str, mode: str =
     df.select(key, F.col(text).cast("string").alias("value")).repartition(key).write.mode(mode).partitionBy(key).text(path)
 
 
-def markdown_table(df: DataFrame, columns: list[str] | None = None, limit: int = 100) -> str:
-    """The first rows of a small result as a table; bars in cells are escaped."""
+def preferred_order(df: DataFrame, preferred: list[str]) -> list[str]:
+    """The preferred columns first, then the others in the order in which they are found, but those that begin with an underscore."""
+    return [*preferred, *[c for c in df.columns if c not in preferred and not c.startswith("_")]]
+
+
+def markdown_table(df: DataFrame, columns: list[str] | None = None, limit: int | None = None) -> str:
+    """A small result as a table; bars in cells are escaped. With ``limit`` a last line says that rows are left out."""
     columns = columns or df.columns
-    rows = df.select(*columns).limit(limit).collect()
+    shown = df.select(*columns)
+    rows = shown.limit(limit + 1).collect() if limit is not None else shown.collect()
     if not rows:
         return "_No rows._"
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
     lines = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
-    return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows])
+    lines += ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows[:limit]]
+    return "\n".join(lines + (["", f"_Only the first {limit} rows._"] if limit is not None and len(rows) > limit else []))
+
+
+def latex_table(df: DataFrame, columns: list[str] | None = None) -> str:
+    """A small result as a LaTeX table; what has a meaning there is escaped."""
+    columns = columns or df.columns
+    marks = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
+    cell = lambda v: "" if v is None else "".join(marks.get(c, c) for c in str(v))
+    line = lambda r: " & ".join(cell(v) for v in r) + r" \\"
+    return "\n".join([r"\begin{tabular}{" + "l" * len(columns) + "}", r"\hline", line(columns), r"\hline", *[line(r) for r in df.select(*columns).collect()], r"\hline", r"\end{tabular}"])
 
 
 def coefficient_table(results: DataFrame, digits: int = 3) -> str:

@@ -64,3 +64,29 @@ def test_sinks(spark, tmp_path):
     assert (tmp_path / "per" / "id=2").exists()
     assert sinks.markdown_table(df.select("id", "_k").orderBy("id")).splitlines()[2] == "| 1 | x\\|y |"
     assert sinks.markdown_table(df.limit(0)) == "_No rows._"
+    text = sinks.markdown_table(df.orderBy("id"), ["id"], limit=1)
+    assert text.splitlines()[2:] == ["| 1 |", "", "_Only the first 1 rows._"] and len(sinks.markdown_table(spark.range(150)).splitlines()) == 152
+    assert sinks.preferred_order(df, ["v", "new"]) == ["v", "new", "id", "t"]
+    assert r"x|y & 50\% a\_b" in sinks.latex_table(spark.createDataFrame([("x|y", "50% a_b")], "a string, b string"))
+
+
+def test_sniffing_looks_at_more_than_one_line():
+    assert files.sniff_separator("a\tb\n1\t2,3\n") == "\t" and files.sniff_separator("a;b,c;d\n1;2;3\n4;5,6,7;8\n") == ";" and files.sniff_separator("one\ntwo") == "," == files.sniff_separator("")
+    assert files.sniff_separator("a|b\n" * 3000) == "|"
+
+
+def test_records_run_over_splits(spark, tmp_path):
+    rows = [(i, f"title {i}", " ".join(f"w{k}" for k in range(i % 7))) for i in range(1, 400)]
+    (tmp_path / "big.tsv").write_text("id\ttitle\tnotes\n" + "".join(f"{i}\t{t}\t" + n.replace(" ", "\n") + "\n" for i, t, n in rows))
+    (tmp_path / "second.tsv").write_text("lost line\n5\tx\ty\nz\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        df = files.scan_multiline_records(spark, str(tmp_path), ["id", "title", "notes"])
+        assert sorted(tuple(r) for r in df.collect()) == sorted([(str(i), t, n) for i, t, n in rows] + [("5", "x", "y z")])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_catalogue_of_fields(spark, tmp_path):
+    spark.range(1).selectExpr("id", "'x' as t").write.parquet(str(tmp_path / "t"))
+    assert [tuple(r)[:3] for r in files.field_catalogue(spark, str(tmp_path / "t")).collect()] == [(1, "id", "bigint"), (2, "t", "string")]
