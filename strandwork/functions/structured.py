@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def find_keys(df: DataFrame, text: str, keys: tuple[str, ...], out: str = "found", limit: int = 50) -> DataFrame:
-    """``out``: up to ``limit`` texts under any of ``keys`` at any depth of a JSON text, depth first; names are compared without case, blanks, ``_`` and ``-``.
+def find_keys(df: DataFrame, text: str, keys: tuple[str, ...], out: str = "found", limit: int | None = None) -> DataFrame:
+    """``out``: all texts (the first ``limit`` if one is given) under any of ``keys`` at any depth of a JSON text, depth first; names are compared without case, blanks, ``_`` and ``-``.
 
     What isn't JSON, or null, gives an empty list.
     """
@@ -21,7 +21,7 @@ def find_keys(df: DataFrame, text: str, keys: tuple[str, ...], out: str = "found
     def walk(node, into: list[str]) -> None:
         if isinstance(node, dict):
             for k, v in node.items():
-                if norm(k) in wanted and not isinstance(v, (dict, list)) and v is not None and len(into) < limit:
+                if norm(k) in wanted and not isinstance(v, (dict, list)) and v is not None and (limit is None or len(into) < limit):
                     into.append(v if isinstance(v, str) else json.dumps(v))
                 walk(v, into)
         elif isinstance(node, list):

@@ -26,15 +26,28 @@ def whole_or_zero(c: Column) -> Column:
     return F.coalesce(F.when(F.trim(c).rlike(r"^[+-]?\d+$"), F.trim(c).try_cast("bigint")), F.lit(0).cast("bigint"))
 
 
+def real_or_null(c: Column) -> Column:
+    """A number with or without decimals, null for anything else; ``nan``, exponents and thousands separators aren't read."""
+    return F.when(F.trim(c).rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"), F.trim(c).try_cast("double"))
+
+
+def fixed(c: Column, digits: int) -> Column:
+    """A number as text with ``digits`` decimals; null and NaN give null."""
+    return F.when(c.isNotNull() & ~F.isnan(c.cast("double")), F.format_string(f"%.{digits}f", c.cast("double")))
+
+
 def plain(c: Column) -> Column:
     """Lower case, ``&`` as ``and``, everything but letters and digits as one blank."""
     return F.trim(F.regexp_replace(F.replace(F.lower(c), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " "))
 
 
 def ascii_plain(c: Column) -> Column:
-    """As ``plain`` after taking accents off the Latin letters that have them."""
-    # Fixed value: accented letters and what they become.
-    return plain(F.translate(F.lower(c), "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžłđ", "aaaaaaceeeeiiiinoooooouuuuyyszld"))
+    """As ``plain`` after taking accents off the Latin letters that have them; letters of two sounds become two."""
+    t = F.lower(c)
+    # Letters and what they become.
+    for letter, pair in (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th"), ("ð", "d")):
+        t = F.replace(t, F.lit(letter), F.lit(pair))
+    return plain(F.translate(t, "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžłđ", "aaaaaaceeeeiiiinoooooouuuuyyszld"))
 
 
 def split_camel(c: Column) -> Column:

@@ -43,6 +43,11 @@ class Fit:
             out.append((model, name, float(b), float(s), float(z), float(normal_p(b, s)), float(b - Z95 * s), float(b + Z95 * s), int(self.n)))
         return out
 
+    def f_statistic(self) -> float:
+        """Classical F of all terms but the intercept."""
+        r2, k = self.extra["r2"], len(self.names)
+        return r2 / (1 - r2) * (self.n - k) / (k - 1)
+
     def combine(self, weights: dict[str, float]) -> tuple[float, float]:
         """Estimate and error of a linear combination."""
         w = np.array([weights.get(n, 0.0) for n in self.names])
@@ -188,6 +193,17 @@ def autocorrelations(e: np.ndarray, lags: int) -> np.ndarray:
     return np.array([(d[k:] @ d[: len(d) - k]) / (d @ d) for k in range(1, lags + 1)])
 
 
+def partial_autocorrelations(e: np.ndarray, lags: int) -> np.ndarray:
+    """The last coefficient of an autoregression of each order, from the autocorrelations (Durbin's recursion)."""
+    r = np.concatenate([[1.0], autocorrelations(e, lags)])
+    out, phi = [], np.zeros(0)
+    for k in range(1, lags + 1):
+        last = (r[k] - phi @ r[k - 1 : 0 : -1]) / (1 - phi @ r[1:k])
+        phi = np.append(phi - last * phi[::-1], last)
+        out.append(last)
+    return np.array(out)
+
+
 def durbin_watson(e: np.ndarray) -> float:
     return float(np.sum(np.diff(e) ** 2) / np.sum(e**2))
 

@@ -16,37 +16,16 @@ def normal_p(estimate: float, se: float) -> float:
     return math.erfc(abs(estimate / se) / math.sqrt(2)) if se and se > 0 else math.nan
 
 
-def gamma_upper(a: float, x: float) -> float:
-    """Regularised upper incomplete gamma: a power series below a + 1, Lentz's continued fraction above."""
+def chi2_tail(x: float, df: int) -> float:
+    """Upper tail of chi-squared with whole degrees of freedom, exact: known for one and two, and two more add one term of a Poisson sum."""
     if x <= 0:
         return 1.0
-    front = math.exp(-x + a * math.log(x) - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1.0 / a
-        k = a
-        while abs(term) > abs(total) * 1e-15:
-            k += 1
-            term *= x / k
-            total += term
-        return max(0.0, 1.0 - front * total)
-    tiny = 1e-300
-    b = x + 1 - a
-    c, d = 1 / tiny, 1 / b
-    h = d
-    for i in range(1, 10_000):
-        an = -i * (i - a)
-        b += 2
-        d = 1 / ((an * d + b) or tiny)
-        c = (b + an / c) or tiny
-        step = d * c
-        h *= step
-        if abs(step - 1) < 1e-15:
-            break
-    return front * h
-
-
-def chi2_tail(x: float, df: int) -> float:
-    return gamma_upper(df / 2, x / 2)
+    half = x / 2
+    tail, a = (math.erfc(math.sqrt(half)), 0.5) if df % 2 else (math.exp(-half), 1.0)
+    while a < df / 2:
+        tail += math.exp(a * math.log(half) - half - math.lgamma(a + 1))
+        a += 1
+    return min(1.0, tail)
 
 
 def chi2_tail_cube_root(x: float, df: int) -> float:
@@ -65,6 +44,20 @@ def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, sum(q for k in range(max(0, column - other), min(row, column) + 1) if (q := p(k)) <= seen + 1e-12))
 
 
+def two_proportions(e1: int, n1: int, e0: int, n0: int) -> tuple[float, float]:
+    """(z, two-sided p) of the difference of two proportions with a pooled error; NaN where it has none."""
+    pooled = (e1 + e0) / (n1 + n0) if n1 and n0 else 0.0
+    se = math.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0)) if n1 and n0 else 0.0
+    return ((e1 / n1 - e0 / n0) / se, normal_p(e1 / n1 - e0 / n0, se)) if se > 0 else (math.nan, math.nan)
+
+
+def wald(events: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
+    """Interval of a proportion by its normal error, within 0 and 1; null where ``n`` is 0."""
+    p = F.try_divide(events.cast("double"), n)
+    half = z * F.sqrt(F.try_divide(p * (1 - p), n))
+    return F.greatest(F.lit(0.0), p - half), F.least(F.lit(1.0), p + half)
+
+
 def wilson(events: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     """Score interval of a proportion, within 0 and 1; null where ``n`` is 0."""
     p = F.try_divide(events.cast("double"), n)

@@ -96,3 +96,34 @@ def net_additions(layers: DataFrame, id_: str = "id", layer: str = "layer", coun
 def union_rows(*frames: DataFrame) -> DataFrame:
     """Rows of all frames by column name; columns that one lacks are null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def phrase_join(texts: DataFrame, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
+    """The columns of ``texts`` but ``text`` and each distinct ``phrase`` of the other table that the text holds as whole words.
+
+    Both sides are compared in lower case with everything but letters and digits as one blank. A text meets a phrase only through the
+    phrase's rarest word, counted over all texts, so no product of the tables is made and neither has to fit in memory. Null and blank
+    texts and phrases give no row; repeated rows stay.
+    """
+    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    rows = texts.withColumn("__t", norm(F.col(text))).filter("__t <> ''")
+    counts = rows.select(F.explode(F.array_distinct(F.split("__t", " "))).alias("__w")).groupBy("__w").agg(F.count("*").alias("__n"))
+    asked = phrases.select(norm(F.col(phrase)).alias(phrase)).filter(F.col(phrase) != "").distinct()
+    rarest = asked.select(phrase, F.explode(F.split(phrase, " ")).alias("__w")).join(counts, "__w", "left").groupBy(phrase).agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__w").alias("w"))).alias("__m"))
+    index = rarest.filter("__m.n > 0").select(phrase, F.col("__m.w").alias("__w"))
+    keep = [c for c in texts.columns if c not in (text, phrase)]
+    held = rows.select(*keep, "__t", F.explode(F.array_distinct(F.split("__t", " "))).alias("__w")).join(index, "__w")
+    return held.filter(F.concat(F.lit(" "), "__t", F.lit(" ")).contains(F.concat(F.lit(" "), phrase, F.lit(" ")))).select(*keep, phrase)
+
+
+def split_with_contract(df: DataFrame, condition: Column, **expected: int) -> tuple[DataFrame, DataFrame]:
+    """The rows that meet a condition and those that don't (or have null); two names give the sizes they must have, else it raises.
+
+    Both sizes come from one pass.
+    """
+    (first, n), (second, m) = expected.items()
+    holds = F.coalesce(condition, F.lit(False))
+    got = df.agg(F.count_if(holds).alias("n"), F.count_if(~holds).alias("m")).first()
+    if (got["n"], got["m"]) != (n, m):
+        raise ValueError(f"{first} has {got['n']} rows instead of {n}, {second} {got['m']} instead of {m}")
+    return df.filter(holds), df.filter(~holds)

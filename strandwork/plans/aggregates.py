@@ -80,14 +80,17 @@ def sorted_unique(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _LINEAGE = "upper(trim(lineage_id))"
+# Words that stand for an id that isn't known.
+_UNKNOWN = ("", "unresolved", "tbd", "unknown", "n/a", "na", "nan", "none", "null", "-")
+_NOT_KNOWN = ", ".join(f"'{w}'" for w in _UNKNOWN)
 
 
 @register(
     f"""SELECT {_LINEAGE} AS lineage, count(*) AS rows_, count(DISTINCT lower(repo_owner || '/' || repo_name)) AS repos, count(DISTINCT notice_id) AS notices, min(notice_date) AS first_notice, max(notice_date) AS last_notice,
-    sum(wayback_capture_count)::BIGINT AS captures, sum((lower(trim(repo_status)) = 'disabled')::INT)::BIGINT AS disabled FROM ukb_dmca_repositories WHERE lower(trim(lineage_id)) LIKE 'ukbl-%' GROUP BY 1"""
+    sum(wayback_capture_count)::BIGINT AS captures, sum((lower(trim(repo_status)) = 'disabled')::INT)::BIGINT AS disabled FROM ukb_dmca_repositories WHERE lower(trim(lineage_id)) NOT IN ({_NOT_KNOWN}) GROUP BY 1"""
 )
 def entity_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "ukb_dmca_repositories").filter(F.lower(F.trim("lineage_id")).like("ukbl-%"))
+    rows = table(spark, folder, "ukb_dmca_repositories").filter(~F.lower(F.trim("lineage_id")).isin(*_UNKNOWN))
     return rows.groupBy(F.upper(F.trim("lineage_id")).alias("lineage")).agg(
         F.count("*").alias("rows_"), F.count_distinct(F.lower(F.concat("repo_owner", F.lit("/"), "repo_name"))).alias("repos"), F.count_distinct("notice_id").alias("notices"),
         F.min("notice_date").alias("first_notice"), F.max("notice_date").alias("last_notice"), F.sum(F.col("wayback_capture_count").cast("bigint")).alias("captures"), F.sum((F.lower(F.trim("repo_status")) == "disabled").cast("int")).alias("disabled"),

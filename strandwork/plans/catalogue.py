@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandwork.plans import aggregates, calendar, exchange, linkage, models, problems, relational, streams, texts
+from strandwork.plans import aggregates, calendar, crosswalks, estimates, exchange, linkage, models, problems, relational, streams, texts
 
 
 def modules() -> list:
-    return [problems, relational, aggregates, calendar, texts, models, linkage, streams, exchange]
+    return [problems, relational, aggregates, calendar, texts, models, linkage, streams, exchange, crosswalks, estimates]

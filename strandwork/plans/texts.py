@@ -31,9 +31,12 @@ def normalize_title(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "schema19_publications").select("row_id", T.plain(F.col("title")).alias("title"))
 
 
-@register(f"SELECT repo_row_id, {_PLAIN.format('strip_accents(repo_owner_public_name)')} AS name FROM ukb_dmca_repositories WHERE NOT regexp_matches(coalesce(repo_owner_public_name, ''), '[ßæœþð]')")
+_PAIRS = "replace(replace(replace(replace(replace(lower({0}), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'þ', 'th'), 'ð', 'd')"
+
+
+@register(f"SELECT repo_row_id, {_PLAIN.format('strip_accents(' + _PAIRS.format('repo_owner_public_name') + ')')} AS name FROM ukb_dmca_repositories")
 def ascii_names(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "ukb_dmca_repositories").filter(~F.coalesce("repo_owner_public_name", F.lit("")).rlike("[ßæœþð]")).select("repo_row_id", T.ascii_plain(F.col("repo_owner_public_name")).alias("name"))
+    return table(spark, folder, "ukb_dmca_repositories").select("repo_row_id", T.ascii_plain(F.col("repo_owner_public_name")).alias("name"))
 
 
 @register(f"SELECT row_id, array_to_string(list_sort(list_distinct({_tokens('application_title')})), ' ') AS tokens FROM application_level_leakage")
