@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,18 @@ def orphan_references(references: DataFrame, existence: DataFrame) -> DataFrame:
 def apply_deltas(balance: DataFrame, deltas: DataFrame) -> DataFrame:
     """Yesterday's balance and today's signed deltas (target, key, existing, referring) to today's balance."""
     return balance.unionByName(deltas).groupBy("target", "key").agg(F.sum("existing").alias("existing"), F.sum("referring").alias("referring"))
+
+
+def standing_orphans(deltas: DataFrame) -> DataFrame:
+    """(target, period, orphan_keys): how many keys have references and no existence at the end of each period in which anything changed.
+
+    ``deltas`` has target, key, period, existing and referring, the signed changes. They are summed per key and period first, so a key has
+    no more rows than periods; its running balance says when it becomes an orphan and when it ceases to be one, and only these changes
+    are added up over time. Null keys are left out; a null period counts as the earliest.
+    """
+    per = deltas.filter(F.col("key").isNotNull()).groupBy("target", "key", F.coalesce("period", F.lit("")).alias("period")).agg(F.sum("existing").alias("existing"), F.sum("referring").alias("referring"))
+    run = Window.partitionBy("target", "key").orderBy("period")
+    state = per.withColumn("o", ((F.sum("referring").over(run) > 0) & (F.sum("existing").over(run) <= 0)).cast("int"))
+    change = state.withColumn("c", F.col("o") - F.coalesce(F.lag("o").over(run), F.lit(0)))
+    by = change.groupBy("target", "period").agg(F.sum("c").alias("c"))
+    return by.select("target", "period", F.sum("c").over(Window.partitionBy("target").orderBy("period")).alias("orphan_keys"))

@@ -176,9 +176,9 @@ def did_battery(spark: SparkSession, folder: str) -> DataFrame:
     both = cells.unionByName(cells.withColumn("part", F.lit("all"))).groupBy("part", "arm", "sign").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     mean = F.col("s") / F.col("n")
     did = both.groupBy("part").agg(F.sum(mean * F.col("sign")).alias("did"), F.sqrt(F.sum((F.col("q") - F.col("n") * mean * mean) / (F.col("n") - 1) / F.col("n"))).alias("se"), F.count("*").alias("k")).filter("k = 4")
-    whole = did.filter("part = 'all'").select(F.col("did").alias("overall"))
-    far = (F.col("did") - F.col("overall")) / F.col("se")
-    return did.join(F.broadcast(whole)).select("part", F.round("did", 4).alias("did"), F.round("se", 4).alias("se"), F.round(far, 6).alias("distance"), (F.abs(far) > 1.96).alias("differs"))
+    overall = F.max(F.when(F.col("part") == "all", F.col("did"))).over(Window.partitionBy())  # a row per part
+    far = did.withColumn("far", (F.col("did") - overall) / F.col("se"))
+    return far.select("part", F.round("did", 4).alias("did"), F.round("se", 4).alias("se"), F.round("far", 6).alias("distance"), (F.abs("far") > 1.96).alias("differs"))
 
 
 _BREAKS = ["1996-01-01", "1996-07-01", "1997-01-01", "1997-07-01", "1998-01-01", "1998-07-01"]

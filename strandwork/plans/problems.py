@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.operators.references import existence_deltas, orphan_references, whole_number
+from strandwork.operators.references import existence_deltas, orphan_references, standing_orphans, whole_number
 from strandwork.operators.split_values import infer_rules, split_values
 from strandwork.operators.timestamps import normalise_timestamps
 from strandwork.plans.packed_sql import P3_FOUND
@@ -90,6 +90,22 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     return p4_found(spark, folder).groupBy("ref_table", "ref_field", "period").agg(F.count("*").alias("orphan_refs"), F.countDistinct("missing_key").alias("missing_keys"))
 
 
+def change_deltas(spark: SparkSession, folder: str) -> DataFrame:
+    """(target, key, period, existing, referring): each arrival, deletion and reference as a signed change of its month."""
+    month = lambda c: F.date_format(c, "yyyy-MM")
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    parts = [references(spark, folder).select("target", "key", "period", zero.alias("existing"), one.alias("referring"))]
+    for name, key, target in (("stage2_master_projects", "app_id", "application"), ("schema19_publications", "pub_id", "publication")):
+        changes = F.array_compact(F.array(F.struct(month("loaded_at").alias("period"), one.alias("existing")), F.when(F.col("deleted_at").isNotNull(), F.struct(F.greatest(month("deleted_at"), month("loaded_at")).alias("period"), (-one).alias("existing")))))
+        parts.append(table(spark, folder, name).select(F.lit(target).alias("target"), whole_number(F.col(key)).alias("key"), F.inline(changes)).select("target", "key", "period", "existing", zero.alias("referring")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).filter(F.col("key").isNotNull())
+
+
+def p4_standing(spark: SparkSession, folder: str) -> DataFrame:
+    """Orphan keys standing at the end of each month, maintained from the changes of the months."""
+    return standing_orphans(change_deltas(spark, folder))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     no = F.lit(None).cast("string")
     repos = table(spark, folder, "ukb_dmca_repositories").select(
@@ -112,7 +128,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return normalise_timestamps(values, "value", "zone", "locale").filter("utc_us is not null").select("table_name", "row_id", "field_name", "utc_us")
 
 
-QUERIES = {"p3_found": p3_found, "p3_rules": p3_rules, "p4_found": p4_found, "p4_report": p4_report, "p7_found": p7_found}
+QUERIES = {"p3_found": p3_found, "p3_rules": p3_rules, "p4_found": p4_found, "p4_report": p4_report, "p4_standing": p4_standing, "p7_found": p7_found}
 
 _KEY = r"TRY_CAST(regexp_extract({0}, '^\s*([+-]?[0-9]+)(\.0*)?\s*$', 1) AS BIGINT)"
 _P4 = f"""
@@ -132,5 +148,15 @@ WITH refs AS (
 ORACLE_SQL = {
     "p3_found": P3_FOUND,
     "p4_found": f"{_P4} SELECT * FROM found",
+    "p4_standing": f"""{_P4}, d AS (
+  SELECT CASE t WHEN 'a' THEN 'application' ELSE 'publication' END AS target, k, coalesce(period, '') AS period, 0 AS ex, 1 AS ref FROM refs WHERE k IS NOT NULL
+  UNION ALL SELECT 'application', {_KEY.format("app_id")}, coalesce(strftime(loaded_at, '%Y-%m'), ''), 1, 0 FROM stage2_master_projects
+  UNION ALL SELECT 'application', {_KEY.format("app_id")}, greatest(strftime(deleted_at, '%Y-%m'), strftime(loaded_at, '%Y-%m')), -1, 0 FROM stage2_master_projects WHERE deleted_at IS NOT NULL
+  UNION ALL SELECT 'publication', {_KEY.format("pub_id")}, coalesce(strftime(loaded_at, '%Y-%m'), ''), 1, 0 FROM schema19_publications
+  UNION ALL SELECT 'publication', {_KEY.format("pub_id")}, greatest(strftime(deleted_at, '%Y-%m'), strftime(loaded_at, '%Y-%m')), -1, 0 FROM schema19_publications WHERE deleted_at IS NOT NULL
+), p AS (SELECT target, k, period, sum(ex) AS ex, sum(ref) AS ref FROM d WHERE k IS NOT NULL GROUP BY ALL),
+o AS (SELECT target, k, period, (sum(ref) OVER w > 0 AND sum(ex) OVER w <= 0)::INT AS o FROM p WINDOW w AS (PARTITION BY target, k ORDER BY period)),
+c AS (SELECT target, period, sum(o - coalesce(l, 0)) AS c FROM (SELECT *, lag(o) OVER (PARTITION BY target, k ORDER BY period) AS l FROM o) GROUP BY ALL)
+SELECT target, period, sum(c) OVER (PARTITION BY target ORDER BY period)::BIGINT AS orphan_keys FROM c""",
     "p4_report": f"{_P4} SELECT ref_table, ref_field, period, count(*) AS orphan_refs, count(DISTINCT missing_key) AS missing_keys FROM found GROUP BY ALL",
 }

@@ -11,11 +11,11 @@ DATA = os.environ.get("STRANDWORK_TEST_DATA", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from strandwork.session import build_session
 
     session = build_session(
-        "tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.sql.autoBroadcastJoinThreshold": "256k", "spark.sql.maxMetadataStringLength": "2000"}
+        "tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.sql.autoBroadcastJoinThreshold": "256k", "spark.sql.maxMetadataStringLength": "2000", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))}
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

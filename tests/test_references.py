@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandwork.operators.references import apply_deltas, existence_deltas, key_balance, orphan_references, whole_number
+from strandwork.operators.references import apply_deltas, existence_deltas, key_balance, orphan_references, standing_orphans, whole_number
 
 REFS = "target string, key bigint, row int, extra string"
 
@@ -37,3 +37,20 @@ def test_deltas_add_up(spark):
     day1 = key_balance(refs, targets(spark, [("1", None, "a")]))
     day2 = apply_deltas(day1, targets(spark, [("2", None, "a")]))
     assert {r["key"]: (r["existing"], r["referring"]) for r in day2.collect()} == {1: (1, 1), 2: (1, 1)}
+
+
+def test_standing_orphans_are_what_folded_deltas_say(spark):
+    import random
+
+    random.seed(5)
+    rows = [(random.choice("ab"), random.choice([None, 1, 2, 3, 4]), random.choice([None, "2020-01", "2020-02", "2020-04"]), *random.choice([(1, 0), (-1, 0), (0, 1), (0, -1)])) for _ in range(120)]
+    deltas = spark.createDataFrame(rows, "target string, key bigint, period string, existing bigint, referring bigint")
+    got = {(r["target"], r["period"]): r["orphan_keys"] for r in standing_orphans(deltas).collect()}
+    balance = deltas.select("target", "key", "existing", "referring").limit(0)
+    for period in ("", "2020-01", "2020-02", "2020-04"):  # a batch a period
+        batch = deltas.filter(F.col("key").isNotNull() & (F.coalesce("period", F.lit("")) == period)).select("target", "key", "existing", "referring")
+        balance = spark.createDataFrame(apply_deltas(balance, batch).collect(), balance.schema)
+        for t in "ab":
+            if (t, period) in got:
+                assert got[t, period] == balance.filter((F.col("target") == t) & (F.col("referring") > 0) & (F.col("existing") <= 0)).count()
+    assert standing_orphans(deltas.limit(0)).count() == 0
