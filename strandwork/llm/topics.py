@@ -63,8 +63,10 @@ class Index:
 
     def weighed(self, asks: DataFrame) -> DataFrame:
         """Asks (id, person, names) with their weights and the score of a document that shares every term."""
-        terms = asks.select("id", "person", F.explode("names").alias("d")).join(self.phrase_weight, "d").groupBy("id", "person").agg(F.sort_array(F.collect_set(F.struct("d", "w"))).alias("terms"))
-        got = terms.join(self.person_weight, "person")
+        # sets of phrases recur: each is weighed once
+        sets = asks.select("names").distinct()
+        terms = sets.select("names", F.explode("names").alias("d")).join(self.phrase_weight, "d").groupBy("names").agg(F.sort_array(F.collect_set(F.struct("d", "w"))).alias("terms"))
+        got = asks.join(terms, "names").select("id", "person", "terms").join(self.person_weight, "person")
         return got.withColumn("whole", F.aggregate("terms", F.col("pw"), lambda s, t: s + t["w"]))
 
     def pairs(self, asks: DataFrame) -> DataFrame:
@@ -110,9 +112,10 @@ def match_subject_and_people(queries: DataFrame, documents: DataFrame, calibrati
     index = Index(clean(documents))
     asks = cut(index.weighed(clean(queries)))
     pairs = cut(index.pairs(asks))
-    gaps = cut(index.gaps(asks, pairs))
+    # only an ask with a pair can be matched
+    gaps = index.gaps(asks.join(pairs.select("id", "person").distinct(), ["id", "person"], "left_semi"), pairs)
     share = max(1, math.ceil(asks.count() / calibration_rows))
-    picked = asks.filter(F.pmod(F.xxhash64("id", "person"), F.lit(share)) == 0)
+    picked = cut(asks.filter(F.pmod(F.xxhash64("id", "person"), F.lit(share)) == 0))
     rows = sorted(picked.select("id", "person").collect())  # bounded by calibration_rows
     people = [r["person"] for r in rows]
     turned = [(r["id"], r["person"], people[(k + len(rows) // 2) % len(rows)]) for k, r in enumerate(rows)]
@@ -120,7 +123,7 @@ def match_subject_and_people(queries: DataFrame, documents: DataFrame, calibrati
     names = F.transform("terms", lambda t: t["d"]).alias("names")
     decoys = cut(index.weighed(picked.join(swap, ["id", "person"]).select("id", F.col("other").alias("person"), names).distinct()))
     seen = lambda df: [(r["gap"], r["share"]) for r in df.select("gap", "share").collect()]
-    false, real = seen(index.gaps(decoys, index.pairs(decoys))), seen(gaps.join(picked.select("id", "person"), ["id", "person"], "left_semi"))
+    false, real = seen(index.gaps(decoys, index.pairs(decoys))), seen(index.gaps(picked, pairs.join(picked.select("id", "person"), ["id", "person"], "left_semi")))
     start, by_gap, by_share = map(float, fit_logistic(np.array(real + false, float).reshape(-1, 2), np.array([1.0] * len(real) + [0.0] * len(false))))
     odds = F.exp(-(start + by_gap * F.col("gap") + by_share * F.col("share"))) * (len(real) / max(1, len(false)))
     sure = gaps.select("id", "person", "best", "gap", F.greatest(F.lit(0.0), 1 - odds).alias("confidence")).filter(F.col("confidence") >= least_confidence)
