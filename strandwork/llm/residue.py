@@ -233,7 +233,7 @@ SLOT_WORDS = "name names first last full id ids number date dates start end titl
 # Notations of slots (name, what it looks like); what is between the delimiters is on one line and holds none of them.
 SHAPES = {
     "{{}}": r"\{\{[^{}\n]*\}\}", "{%}": r"\{%[^{}%\n]*%\}", "${}": r"\$\{[^{}\n]*\}", "[[]]": r"\[\[[^\[\]\n]*\]\]", "<<>>": r"<<[^<>\n]*>>", "@@": r"@@[^@\n]+@@", "<>": r"<[^<>\n/!=\"]*>", "&lt;": r"&lt;[^&<>\n]*&gt;",
-    "##": r"(?<!\w)#[^\W\d_][\w-]*#(?!\w)", "%%": r"(?<![\w%])%[^\W\d_][A-Za-z_]*%(?![\w%])", "__": r"(?<!\w)__[A-Za-z][A-Za-z_]*?__(?!\w)", "$": r"(?<![\w$])\$[A-Z][A-Z_]{2,}(?!\w)", "_": r"(?<!\w)_{6,}(?!\w)", "x": r"(?<!\w)X{5,}(?!\w)",
+    "##": r"(?<![A-Za-z0-9_])#[^\W\d_][\w-]*#(?![A-Za-z0-9_])", "%%": r"(?<![A-Za-z0-9_%])%[^\W\d_][A-Za-z_]*%(?![A-Za-z0-9_%])", "__": r"(?<![A-Za-z0-9_])__[A-Za-z][A-Za-z_]*?__(?![A-Za-z0-9_])", "$": r"(?<![A-Za-z0-9_$])\$[A-Z][A-Z_]{2,}(?![A-Za-z0-9_])", "_": r"(?<![A-Za-z0-9_])_{6,}(?![A-Za-z0-9_])", "x": r"(?<![A-Za-z0-9_])X{5,}(?![A-Za-z0-9_])",
     "[]": r"\[[^\[\]\n]*\](?!\()", "()": r"\([^()\n]*\)", "{}": r"(?<![\\A-Za-z0-9_^$}])\{[^{}\n\"':,]*\}",
 }
 _SHAPES = re.compile(r"(?=[{$\[<@#%_X(&])(?:" + "|".join(f"(?P<s{n}>{p})" for n, p in enumerate(SHAPES.values())) + ")")
@@ -249,6 +249,8 @@ _FURNITURE = re.compile(r"^\s*(?:\[\d{4}-\d\d-\d\d[^\]\n]*\]|Home >[^\n]*)|\(c\)
 _TERM = re.compile(r"[぀-ヿ㐀-鿿가-힯]+|[^\W_]+")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _PASSAGE = re.compile(r"(?<=[.!?…}])\s+|\s+(?=\{)|(?<=[。！？])|\s*[\n|•]+\s*")
+#: a line that goes on in lower case is the one before it, wrapped
+_WRAPPED = re.compile(r"(?<=[^\s.!?…:])\n(?=[a-z])")
 _NAME = re.compile(r"[^\W\d_]+|\d+")
 
 
@@ -301,7 +303,7 @@ def read(text: str) -> tuple[str, list[tuple[str, ...]]]:
 
     def slot(m: re.Match) -> str:
         n = int(m.lastgroup[1:])
-        found = (_SHAPE_NAMES[n], *[stem(t) for t in _NAME.findall(m.group())]) if n < 12 or n > 13 else (_SHAPE_NAMES[n],)
+        found = (_SHAPE_NAMES[n], *[stem(t) for t in _NAME.findall(m.group().removeprefix("&lt;").removesuffix("&gt;"))]) if n < 12 or n > 13 else (_SHAPE_NAMES[n],)
         slots.append(found)
         return " \x02 " if n not in _PROSE else m.group()
 
@@ -309,6 +311,8 @@ def read(text: str) -> tuple[str, list[tuple[str, ...]]]:
         text = _SHAPES.sub(slot, text)
     if "<" in text:
         text = _TAG.sub("\n", text)
+    if "\n" in text:
+        text = _WRAPPED.sub(" ", text)
     return (html.unescape(text) if "&" in text else text), slots
 
 

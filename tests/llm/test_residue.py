@@ -137,6 +137,11 @@ def test_slots_are_judged_by_their_delimiters_and_names():
     assert rare.judge("Seen in [brackets galore shown] and") is None and usual.judge("As in [12] and [brackets]") is None
 
 
+@pytest.mark.parametrize("text", ["Geführt von &lt;applicant&gt; seit", "研究代表者は____________である。", "研究代表者は$PI_NAMEである。", "所属：&lt;institution&gt;。", "Insert\nlay summary here."])
+def test_slots_beside_other_scripts_and_wrapped_lines(index, text):
+    assert index.judge(text) and index.judge(f"{LEAD}\n\n{text}\n\n{LEAD}")
+
+
 def test_no_bounds(index):
     far = "x" * 5000
     assert index.judge(f"<code>{far} {{{{ title }}}}</code> ok") is None and index.judge(f"`{far} {{{{ title }}}}` ok") is None
