@@ -16,9 +16,10 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwork.sources.tables import table
@@ -270,6 +271,7 @@ def without_hidden(text: str) -> str:
     return "\n".join([*out, text[at:]])
 
 
+@lru_cache(maxsize=1 << 17)
 def stem(word: str) -> str:
     """A word without case and plural, its first six letters; numbers are all ``0``."""
     word = word.casefold()
@@ -352,6 +354,7 @@ class ResidueIndex:
         self.cost = {t: weight(frequency.get(t, 0)) for t in self.vocabulary | self.names | frequency.keys()}
         #: a term that neither an exemplar holds nor many documents counts as a rare one: it is evidence that the passage is something else
         self.other = weight(documents * COMMON) if documents else 1.0
+        self.held = {t: self.cost[t] for t in self.vocabulary}
         self.index: dict[str, list[int]] = {}
         for n, x in enumerate(known):
             if x.kind != "slot":
@@ -392,8 +395,10 @@ class ResidueIndex:
 
     def windows(self, seq: list[str]) -> Iterator[list[str]]:
         """The windows of a passage whose weight the exemplars' terms could hold; sums run along, so a long passage takes linear time."""
+        held = [self.held.get(t, 0.0) for t in seq]
+        if sum(held) < self.least_weight:
+            return
         size = min(self.window, len(seq))
-        held = [self.cost[t] if t in self.vocabulary else 0.0 for t in seq]
         lost = [0.0 if t in self.vocabulary else min(self.other, self.cost.get(t, self.other)) for t in seq]
         got, miss = sum(held[:size]), sum(lost[:size])
         for k in range(size, len(seq) + 1):
@@ -443,22 +448,21 @@ COMMON = 0.02
 _SPLIT = r"[^\p{L}\p{N}]+"
 
 
-def _stems(text: Column) -> Column:
-    """Distinct stems of a raw text, as ``stem`` makes them, on the JVM."""
-    return F.array_distinct(F.transform(F.split(F.lower(text), _SPLIT), lambda x: F.substring(F.regexp_replace(F.regexp_replace(x, r"^\d+$", "0"), r"(?<=..[^s])s$", ""), 1, 6)))
-
-
 def term_frequencies(docs: DataFrame, text: str, known: list[Exemplar]) -> tuple[dict[str, int], int]:
     """In how many documents each exemplar term, each notation of a slot and each common word occurs, and how many documents there are.
 
-    Counted on the JVM over all whole texts as they are, markup and code included. Common is what ``COMMON`` of the documents hold, so the
+    Counted on the JVM over all whole texts as they are, markup and code included; a stem's number is the sum over its words. Common is what ``COMMON`` of the documents hold, so the
     collected result has at most the mean number of words over ``COMMON`` rows beside the exemplars' terms, whatever the corpus.
     """
     vocabulary = sorted({t for x in known for t in x.terms if t[:1] != "\x00"})
     shapes = [F.when(F.col("text").rlike(p), F.lit("\x00" + k)) for k, p in SHAPES.items()]
     source = docs.select(F.col(text).cast("string").alias("text")).filter("text is not null")
     documents = source.count()
-    found = source.select(F.explode(F.concat(_stems(F.col("text")), F.array_compact(F.array(*shapes)))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    # words are counted first and stemmed then: there are far fewer of them than places where they stand
+    spelled = F.array_distinct(F.split(F.regexp_replace(F.lower("text"), r"\d+", "0"), _SPLIT))
+    words = source.select(F.explode(F.concat(spelled, F.array_compact(F.array(*shapes)))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    cut_ = F.when(F.col("w").startswith("\x00"), F.col("w")).otherwise(F.substring(F.regexp_replace("w", r"(?<=..[^s])s$", ""), 1, 6))
+    found = words.groupBy(cut_.alias("term")).agg(F.sum("n").alias("n"))
     kept = found.filter((F.col("n") >= COMMON * documents) | F.col("term").isin(vocabulary) | F.col("term").startswith("\x00"))
     return {r["term"]: r["n"] for r in kept.collect()}, documents
 
