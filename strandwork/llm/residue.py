@@ -250,6 +250,7 @@ _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _HIDDEN = re.compile(r"<(head|title|style|script)\b[^<>]*>", re.I)
 _FURNITURE = re.compile(r"^\s*(?:\[\d{4}-\d\d-\d\d[^\]\n]*\]|Home >[^\n]*)|\(c\) \d{4} [^\n|]*(?:\|[^\n|]*)+$", re.M | re.I)
 _TERM = re.compile(r"[぀-ヿ㐀-鿿가-힯]+|[^\W_]+")
+_ASCII_TERM = re.compile(r"[A-Za-z0-9]+")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _PASSAGE = re.compile(r"(?<=[.!?…}])\s+|\s+(?=\{)|(?<=[。！？])|\s*[\n|•]+\s*")
 #: a line that goes on in lower case is the one before it, wrapped
@@ -284,6 +285,8 @@ def stem(word: str) -> str:
 
 def terms(text: str) -> list[str]:
     """Terms of a plain text: stems, and pairs of characters where words aren't spaced."""
+    if text.isascii():
+        return list(map(stem, _ASCII_TERM.findall(text)))
     out: list[str] = []
     for t in _TERM.findall(text):
         if _WIDE.match(t):
