@@ -104,7 +104,8 @@ def match_subject_and_people(queries: DataFrame, documents: DataFrame, calibrati
 
     ``queries`` and ``documents`` have id, person and names (sorted array of phrases), a row per person. A pair is nearest on a side if its
     score is within ``slack`` of that side's highest. The confidence, a function of the gap and of the share of its whole score that an ask attains, is calibrated on at most about ``calibration_rows`` asking
-    rows drawn by a hash, against decoys: the same rows with another asker's person. Where p is the logistic
+    rows drawn by a hash, against decoys: the same rows with another
+    person, all people alike often. Where p is the logistic
     probability that the row is no decoy, (1 - p) / p of such rows match by chance. Everything else covers all rows. Nulls match
     nothing, ties all count, repeated rows count once and empty tables give an empty result.
     """
@@ -117,8 +118,8 @@ def match_subject_and_people(queries: DataFrame, documents: DataFrame, calibrati
     share = max(1, math.ceil(asks.count() / calibration_rows))
     picked = cut(asks.filter(F.pmod(F.xxhash64("id", "person"), F.lit(share)) == 0))
     rows = sorted(picked.select("id", "person").collect())  # bounded by calibration_rows
-    people = [r["person"] for r in rows]
-    turned = [(r["id"], r["person"], people[(k + len(rows) // 2) % len(rows)]) for k, r in enumerate(rows)]
+    people = sorted({r["person"] for r in rows})  # each alike often, so that one who is named everywhere doesn't set what chance can do
+    turned = [(r["id"], r["person"], people[(k + len(people) // 2) % len(people)]) for k, r in enumerate(rows)]
     swap = queries.sparkSession.createDataFrame([t for t in turned if t[1] != t[2]], "id bigint, person bigint, other bigint")
     names = F.transform("terms", lambda t: t["d"]).alias("names")
     decoys = cut(index.weighed(picked.join(swap, ["id", "person"]).select("id", F.col("other").alias("person"), names).distinct()))

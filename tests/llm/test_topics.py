@@ -104,7 +104,7 @@ def test_nearest_pairs(spark):
 def test_a_hot_lead_makes_no_more_pairs_than_matches(spark):
     documents = [(i, 1, [f"a{i % 40}", f"b{i % 37}"]) for i in range(1480)]
     queries, others = many()
-    hot = match(spark, [(i, 1, [f"a{i % 40}", f"b{i % 37}"]) for i in range(1480)] + [(5000 + q, p + 10, s) for q, p, s in queries], documents + [(5000 + d, p + 10, s) for d, p, s in others], least_confidence=0.0)
+    hot = match(spark, [(i, 1, [f"a{i % 40}", f"b{i % 37}"]) for i in range(1480)] + [(5000 + q, p + 10, s) for q, p, s in queries], documents + [(5000 + d, p + 10, s) for d, p, s in others])
     assert {(q, d) for q, d in hot if q < 1480} == {(i, i) for i in range(1480)}
 
 
