@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
+from zlib import crc32
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def dedupe(df: DataFrame, keys: list[str], order: list[str], keep: str = "first") -> DataFrame:
@@ -98,22 +102,71 @@ def union_rows(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+#: Slots of a bit set, a power of two: 2 MB each, whatever is entered.
+_SLOTS = 1 << 24
+
+
+def _phrase_bits(asked: DataFrame, phrase: str) -> tuple[bytes, bytes]:
+    """Two bit sets by checksum: of the phrases' first 1, 2, 4, ... words, and of the whole phrases."""
+    first = "transform(sequence(0, length(bin(size(w))) - 1), k -> named_struct('whole', 0, 'x', array_join(slice(w, 1, shiftleft(1, k)), ' ')))"
+    entries = asked.select(F.col(phrase).alias("p"), F.split(phrase, " ").alias("w")).selectExpr(f"inline(concat({first}, array(named_struct('whole', 1, 'x', p))))")
+    slots = entries.select("whole", F.crc32("x").bitwiseAND(F.lit(_SLOTS - 1)).alias("s"))
+    parts = slots.groupBy("whole", F.shiftright("s", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("s").bitwiseAND(F.lit(32767))).alias("bits"))
+    sets = bytearray(_SLOTS // 8), bytearray(_SLOTS // 8)
+    for r in parts.collect():  # at most 1,024 rows of 4 kB
+        sets[r["whole"]][r["part"] * 4096 : (r["part"] + 1) * 4096] = r["bits"]
+    return bytes(sets[0]), bytes(sets[1])
+
+
+def _phrase_search(starts: bytes, wholes: bytes) -> Callable[[str], set[bytes]]:
+    """A search for the runs of words of a text that the bit sets don't rule out: all phrases that it holds, and few others."""
+    last = _SLOTS - 1
+    # most words open no phrase, and most texts repeat the words of others
+    opens = lru_cache(1 << 17)(lambda word: starts[((crc := crc32(word)) & last) >> 3] >> (crc & 7) & 1)
+
+    def search(text: str) -> set[bytes]:
+        words, found = text.encode().split(b" "), set()
+        for i, word in enumerate(words):
+            if not opens(word):
+                continue
+            crc = crc32(word)
+            for n in range(1, len(words) - i + 1):
+                if n > 1:
+                    crc = crc32(b" " + words[i + n - 1], crc)
+                at, bit = (crc & last) >> 3, crc & 7
+                if wholes[at] >> bit & 1:
+                    found.add(b" ".join(words[i : i + n]))
+                if not n & (n - 1) and not starts[at] >> bit & 1:
+                    break
+        return found
+
+    return search
+
+
 def phrase_join(texts: DataFrame, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
     """The columns of ``texts`` but ``text`` and each distinct ``phrase`` of the other table that the text holds as whole words.
 
-    Both sides are compared in lower case with everything but letters and digits as one blank. A text meets a phrase only through the
-    phrase's rarest word, counted over all texts, so no product of the tables is made and neither has to fit in memory. Null and blank
-    texts and phrases give no row; repeated rows stay.
+    Both sides are compared in lower case with everything but letters and digits as one blank. Texts aren't shuffled: each task looks their
+    runs of words up in bit sets of the phrases, which have a fixed size, and only runs that may be phrases are joined with the phrases, which
+    decides. So no product of the tables is made and neither has to fit in memory; from tens of millions of phrases on, the bit sets rule out
+    less and more is shuffled, with the same result. Null and blank texts and phrases give no row; repeated rows stay.
     """
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
-    rows = texts.withColumn("__t", norm(F.col(text))).filter("__t <> ''")
-    counts = rows.select(F.explode(F.array_distinct(F.split("__t", " "))).alias("__w")).groupBy("__w").agg(F.count("*").alias("__n"))
     asked = phrases.select(norm(F.col(phrase)).alias(phrase)).filter(F.col(phrase) != "").distinct()
-    rarest = asked.select(phrase, F.explode(F.split(phrase, " ")).alias("__w")).join(counts, "__w", "left").groupBy(phrase).agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__w").alias("w"))).alias("__m"))
-    index = rarest.filter("__m.n > 0").select(phrase, F.col("__m.w").alias("__w"))
     keep = [c for c in texts.columns if c not in (text, phrase)]
-    held = rows.select(*keep, "__t", F.explode(F.array_distinct(F.split("__t", " "))).alias("__w")).join(index, "__w")
-    return held.filter(F.concat(F.lit(" "), "__t", F.lit(" ")).contains(F.concat(F.lit(" "), phrase, F.lit(" ")))).select(*keep, phrase)
+    rows = texts.select(*keep, norm(F.col(text)).alias("__t"))
+    sets = texts.sparkSession.sparkContext.broadcast(_phrase_bits(asked, phrase))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = _phrase_search(*sets.value)
+        for batch in batches:
+            for part in (batch.slice(k, 1_000) for k in range(0, batch.num_rows, 1_000)):
+                hits = [(i, x) for i, t in enumerate(part.column(len(keep)).to_pylist()) if t for x in search(t)]
+                at = pa.array([i for i, _ in hits], pa.int64())
+                yield pa.RecordBatch.from_arrays([*[c.take(at) for c in part.columns[:-1]], pa.array([x.decode() for _, x in hits], pa.string())], names=[*keep, phrase])
+
+    held = rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField(phrase, StringType())]))
+    return held.join(asked, phrase).select(*keep, phrase)
 
 
 def split_with_contract(df: DataFrame, condition: Column, **expected: int) -> tuple[DataFrame, DataFrame]:

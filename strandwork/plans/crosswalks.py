@@ -68,7 +68,7 @@ _PADDED = "' ' || trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')) || '
     SELECT doc_id, phrase FROM documents, m WHERE phrase <> '' AND contains({_PADDED.format("text")}, ' ' || phrase || ' ')"""
 )
 def phrase_table_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts and the phrases of another table that they hold: a join on each phrase's rarest word, then the phrase itself."""
+    """Texts and the phrases of another table that they hold: runs of words that may be phrases, joined with the phrases."""
     words = table(spark, folder, "schema19_publications").select(F.explode(F.split("keywords", ";")).alias("phrase"))
     phrases = table(spark, folder, "stage3_modality_access_matrix").select(F.col("modality_family").alias("phrase")).unionByName(words)
     return R.phrase_join(table(spark, folder, "documents").select("doc_id", "text"), "text", phrases, "phrase").select("doc_id", "phrase")
