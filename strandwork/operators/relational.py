@@ -148,7 +148,7 @@ def phrase_join(texts: DataFrame, text: str, phrases: DataFrame, phrase: str) ->
 
     Both sides are compared in lower case with everything but letters and digits as one blank. Texts aren't shuffled: each task looks their
     runs of words up in bit sets of the phrases, which have a fixed size, and only runs that may be phrases are joined with the phrases, which
-    decides. So no product of the tables is made and neither has to fit in memory; from tens of millions of phrases on, the bit sets rule out
+    decides. So no product of the tables is made and neither has to fit in memory; from millions of phrases on, the bit sets rule out
     less and more is shuffled, with the same result. Null and blank texts and phrases give no row; repeated rows stay.
     """
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
